@@ -6,8 +6,8 @@ one copy more. The cube method moves these probabilities along the null space of
 of documents, total of words) until they are 0 or 1, so that each source keeps both totals. A document
 source is cut into blocks of some ``BLOCK`` documents by hash; each block's flight leaves two documents
 undecided at most, which meet those of other blocks in the next level, until one block for each source
-remains; its last one or two documents are the landing problem, solved for the least change of words.
-A hot source only has more blocks.
+remains; its last one or two documents are the landing problem, solved for the least change of words
+and mended by exchanging a few pairs. A hot source only has more blocks.
 
 Source totals (one row for each source, at most ``MAX_SOURCES``) go to the driver; documents do not.
 
@@ -18,6 +18,7 @@ choices are seeded by source, level and block, so that reruns agree.
 
 from __future__ import annotations
 
+import bisect
 import itertools
 import math
 import random
@@ -103,6 +104,24 @@ def landing(sizes: list[int], probabilities: list[float]) -> list[float]:
     return out
 
 
+def swapped(sizes: list[int], before: list[float], after: list[float], times: int = 3) -> list[float]:
+    """``after`` with a few pairs of a taken and an untaken document exchanged, each the pair that brings
+    the words nearest to what ``before`` promises. The number of documents stays."""
+    out = list(after)
+    for _ in range(times):
+        excess = sum(s * (x - p) for s, x, p in zip(sizes, out, before, strict=True))
+        zeros = sorted((sizes[i], i) for i, x in enumerate(out) if x == 0 < before[i])
+        best = (abs(excess), -1, -1)
+        for i in (i for i, x in enumerate(out) if x == 1 > before[i]):
+            at = bisect.bisect_left(zeros, (sizes[i] - excess, -1))
+            for size, j in zeros[max(0, at - 1) : at + 1]:
+                best = min(best, (abs(excess - sizes[i] + size), i, j))
+        if best[1] < 0:
+            break
+        out[best[1]], out[best[2]] = 0.0, 1.0
+    return out
+
+
 def word_counts(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """id, source and size (runs of other than ASCII white space) of every row."""
     schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("source", T.StringType()), T.StructField("size", T.LongType())])
@@ -118,11 +137,10 @@ def fly(units: DataFrame, blocks: DataFrame, level: int, land: bool) -> DataFram
     """One level: the units' probabilities after the flight of their blocks."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # the last flight ends with short documents, so that landing moves few words
-        rows = rows.sort_values(["mix", "id", "size"], kind="stable").sort_values("size", ascending=False, kind="stable") if land else rows.sort_values(["mix", "id", "size"], kind="stable")
-        sizes = rows["size"].tolist()
-        flown = flight(sizes, rows["probability"].tolist(), random.Random(f"{key[0]}/{level}/{key[1]}"))
-        rows["probability"] = landing(sizes, flown) if land else flown
+        rows = rows.sort_values(["mix", "id", "size"], kind="stable")
+        sizes, before = rows["size"].tolist(), rows["probability"].tolist()
+        flown = flight(sizes, before, random.Random(f"{key[0]}/{level}/{key[1]}"))
+        rows["probability"] = swapped(sizes, before, landing(sizes, flown)) if land else flown
         return rows[["id", "size", "source_no", "probability"]]
 
     mixed = units.join(F.broadcast(blocks), "source_no").withColumn("mix", F.xxhash64(F.lit(level), "id", "size"))
