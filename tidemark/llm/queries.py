@@ -11,6 +11,7 @@ from .license_scan import op7_license_scan
 from .main_text import op2_html_extraction
 from .media import op1_media_columns
 from .mixing import op5_mixing
+from .neighbours import op4_nearest
 from .toxicity import op10_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
 
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_html_extraction": op2_html_extraction,
     "op3_bpe": op3_bpe,
+    "op4_nearest": op4_nearest,
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
