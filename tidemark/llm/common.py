@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 #: Rows and bytes of one Arrow batch; they bound what a Python worker holds at a time.
-BATCH_ROWS = 2000
+BATCH_ROWS = 500
 BATCH_BYTES = 16 << 20
 
 

@@ -11,6 +11,7 @@ from .license_scan import op7_license_scan
 from .main_text import op2_html_extraction
 from .media import op1_media_columns
 from .mixing import op5_mixing
+from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op4_nearest
 from .toxicity import op10_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
@@ -23,7 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
+    "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL}
+ORACLES: dict[str, str] = {"op6_url_filter": OP6_SQL, "op9_near_dedup": OP9_SQL}
