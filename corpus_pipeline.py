@@ -1,21 +1,58 @@
-"""The corpus pipeline: documents in, token digests out."""
+"""The corpus pipeline: documents in, token digests out.
+
+Each stage works on all that its predecessor kept. The first four return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm import common
 from tidemark.llm.bpe import encode_decode
+from tidemark.llm.mixing import mixed_rows
+from tidemark.llm.near_dedup import near_duplicates
+from tidemark.llm.repeats import without_repeats
+from tidemark.llm.toxicity import learn, toxicity_scores
 
+#: Fitted models, hashes of sets and suffix buckets are beyond SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier calls toxic go."""
+    labels = common.read(spark, sf_dir, "labels")
+    scored = toxicity_scores(docs, learn(docs, labels), docs.columns)
+    return scored.filter("predicted = 0").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8), and one of equal rows."""
+    common.prepare(spark)
+    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("id").alias("_kept_id")).distinct()
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    return found.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 100 bytes or more that stand earlier are cut from the texts."""
+    common.prepare(spark)
+    return without_repeats(docs)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources are mixed to their target weights; a document comes as often as the mix takes it."""
+    common.prepare(spark)
+    return mixed_rows(docs)
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of what is left."""
     common.prepare(spark)
     return encode_decode(docs)
 
 
-STAGES = [("bpe", encode)]
+STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("suffix_dedup", suffix_dedup), ("mixing", mixing), ("bpe", bpe)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -58,3 +59,9 @@ def batch(schema: T.StructType, columns: list) -> pa.RecordBatch:
 
     arrow = to_arrow_schema(schema)
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver notice which shuffles nothing refers to any more; their files are then removed."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -190,6 +190,15 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     return out.select("id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
 
 
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """``df`` as the mix takes it: every row as often as it has copies. A row is known by its id and text;
+    rows equal in both get the same number of copies."""
+    keyed = df.withColumn("_mix_key", F.concat_ws(":", F.col(key).cast("string"), F.hex(F.xxhash64(text))))
+    copies = mix(keyed, "_mix_key", text, source).groupBy(F.col("id").alias("_mix_key")).agg(F.min("copies").alias("_copies"))
+    taken = keyed.join(copies.filter("_copies > 0"), "_mix_key")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*df.columns)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(read(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")

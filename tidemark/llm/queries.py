@@ -13,6 +13,7 @@ from .media import op1_media_columns
 from .mixing import op5_mixing
 from .near_dedup import OP9_SQL, op9_near_dedup
 from .neighbours import op4_nearest
+from .repeats import op8_suffix_dedup
 from .toxicity import op10_toxicity
 from .url_filter import OP6_SQL, op6_url_filter
 
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_url_filter": op6_url_filter,
     "op7_license_scan": op7_license_scan,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_toxicity": op10_toxicity,
 }

@@ -211,10 +211,11 @@ def toxicity_scores(docs: DataFrame, model: Model, keep: list[str], text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = sent.value.score
         for rows in batches:
-            s = [score(x.as_py() or "") for x in rows.column(len(keep))]
+            s = [score(x.as_py() or "") for x in rows.column(at)]
             yield batch(schema, [*(rows.column(i) for i in range(len(keep))), s, [int(x >= 0.5) for x in s]])
 
-    return docs.select(*keep, F.col(text).alias("_scored")).mapInArrow(run, schema)
+    at = keep.index(text) if text in keep else len(keep)
+    return docs.select(*keep, *([] if text in keep else [F.col(text).alias("_scored")])).mapInArrow(run, schema)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
