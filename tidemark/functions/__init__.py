@@ -1 +1 @@
-"""functions."""
+"""Column expressions: guarded arithmetic and window statistics."""

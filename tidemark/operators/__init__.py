@@ -1 +1 @@
-"""operators."""
+"""Operators: each takes DataFrames and returns a lazy DataFrame."""

@@ -1 +1 @@
-"""plans."""
+"""Parameters, and the registered queries with their SQL."""

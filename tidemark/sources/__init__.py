@@ -1 +1 @@
-"""sources."""
+"""Where panels come from."""
