@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, read, release, utf8, written
+from .common import batch, discard, read, release, utf8, written
 
 LENGTH, GRAM = 100, 16
 #: Identifiers within a string, and the offsets of those that make up its own.
@@ -55,6 +55,8 @@ SHARED = (0, 16, 32, 48, 64, LENGTH - STEP + 1 - GRAM)
 #: Bytes that arrays are made for at once; bytes of texts that a task settles at once.
 PIECE, CHUNK = 1 << 18, 4 << 20
 LAST_ID = (1 << 63) - 1
+#: Entries are sent in 2 ** PART_BITS ranges of identifiers, and in more from so many ranges times PART_BYTES of text on.
+PART_BITS, PART_BYTES = 10, 256 << 20
 
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U32 = np.uint64(32)
@@ -429,13 +431,9 @@ def resolve(table: DataFrame, starts: bool, partitions: int) -> DataFrame:
         for rows in batches:
             for part, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 parts.setdefault(part, []).append(data)
-        held: list[np.ndarray] = []
-        while parts:
+        while parts:  # marks are packed within a part, so that their rows are as many however the parts are dealt out
             e = np.frombuffer(b"".join(parts.popitem()[1]), ENTRY)
-            held.append((firsts(e) if starts else refine(e))[1])
-            if sum(map(len, held)) > 1 << 18 or not parts:
-                yield from out_batches(mark_rows(np.concatenate(held)))
-                held = []
+            yield from out_batches(mark_rows((firsts(e) if starts else refine(e))[1]))
 
     return table.filter(F.col("kind") == SENT).select("key", "data").repartition(partitions, "key").mapInArrow(run, ROWS)
 
@@ -469,16 +467,19 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (256 << 20)))
-    bits = min(20, (8 * partitions).bit_length())
+    bits = max(PART_BITS, (total // PART_BYTES).bit_length())
     table = written(settle(docs, bits), "repeats")
     first = written(by_document(table, resolve(table, False, partitions)), "repeat-marks")
+    discard(table)
     release(spark)
-    table = written(settle_steps(docs.join(first.filter(unsure("marks")), "id"), bits), "repeat-steps")
-    second = written(by_document(table, resolve(table, False, partitions)), "repeat-marks")
+    steps = written(settle_steps(docs.join(first.filter(unsure("marks")), "id"), bits), "repeat-steps")
+    second = written(by_document(steps, resolve(steps, False, partitions)), "repeat-marks")
     release(spark)
-    texts = table.filter(F.col("kind") == TEXT).groupBy(F.col("key").alias("id")).agg(F.collect_list("data").alias("texts"))
+    texts = steps.filter(F.col("kind") == TEXT).groupBy(F.col("key").alias("id")).agg(F.collect_list("data").alias("texts"))
     table = written(settle_starts(texts.join(second.filter(unsure("marks")), "id"), bits), "repeat-starts")
     third = written(by_document(table, resolve(table, True, partitions)), "repeat-marks")
+    discard(table)
+    discard(steps)
     release(spark)
     found = first.unionByName(second).unionByName(third).groupBy("id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
     found = written(found, "repeat-marks")
