@@ -9,7 +9,7 @@ Candidates of a bucket are verified in three stages, so that no bucket, however
 1. every member with the bucket's smallest id;
 2. where a bucket still holds two components, every member of another one with the bucket's largest id;
 3. where it still does, members of different components meet in blocks of ``BLOCK``: a task compares the
-   signatures of two blocks as arrays and lets out only pairs that the bounds cannot refuse.
+   signatures of two blocks as arrays, verifies what the bounds cannot refuse, and lets out links only.
 
 Pairs within one component need no verification, as they cannot change it. A candidate's signatures are
 compared in batches; after each the posterior of its similarity is known (a Beta distribution), and a pair
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, read, utf8, written
+from .common import batch, prepare, read, utf8, written
 
 BINS, BANDS, ROWS = 128, 25, 5
 #: Chance, at each batch, that a pair at the threshold or above is dropped.
@@ -43,7 +43,8 @@ MISS = 1e-6
 BATCH = 32
 #: Under so many shingles a signature has too few own bins for the posterior; such pairs are verified at once.
 SMALL = 96
-BLOCK = 256
+#: Members of a block, and pairs of blocks that a worker gets at a time.
+BLOCK, BLOCK_ROWS = 128, 4
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -127,7 +128,6 @@ def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
     return out
 
 
-DOC = "id {id}, n_shingles long, set_key binary"
 SETS_SCHEMA = (T.StructField("n_shingles", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("sig", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())))
 
 
@@ -249,37 +249,62 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
 
 
-def block_pairs(members: DataFrame, threshold: Threshold) -> DataFrame:
-    """Pairs of members (bucket, rep, n_shingles, sig, component, n_members) of a bucket and of different
-    components that the sequential test keeps. A pair is let out by the first band that both share."""
+def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of every set of ``xs`` with every set of ``ys``."""
+    shared = np.intersect1d(np.concatenate(xs), np.concatenate(ys))
+    out = np.zeros((len(xs), len(ys)), np.float32)
+    sides = []
+    for sets in (xs, ys):
+        hashes, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        at = np.searchsorted(shared, hashes)
+        known = (at < len(shared)) & (shared[np.minimum(at, max(0, len(shared) - 1))] == hashes) if len(shared) else np.zeros(len(hashes), bool)
+        order = np.argsort(at[known], kind="stable")
+        sides.append((owner[known][order], at[known][order]))
+    for begin in range(0, len(shared), 4096):
+        marks = []
+        for sets, (owner, at) in zip((xs, ys), sides, strict=True):
+            a, b = np.searchsorted(at, (begin, begin + 4096))
+            m = np.zeros((len(sets), 4096), np.float32)
+            m[owner[a:b], at[a:b] - begin] = 1
+            marks.append(m)
+        out += marks[0] @ marks[1].T
+    return out
+
+
+def block_links(members: DataFrame, threshold: Threshold) -> DataFrame:
+    """Links between members (bucket, rep, n_shingles, sig, component, n_members, shingles) of a bucket and of different
+    components: (a, b), one for each member and other component of two blocks. The sequential test runs on the
+    signatures of two blocks, and what it keeps is verified on their full sets there, so that no row is made for a
+    pair that is not linked."""
     n_blocks = F.ceil(F.col("n_members") / BLOCK).cast("int")
     dealt = members.withColumn("block", F.pmod(F.xxhash64("rep"), n_blocks).cast("int"))
-    packed = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "n_shingles", "component", "sig")).alias("rows"), F.max("band").alias("band"))
-    left, right = packed.toDF("bucket", "block", "rows", "band"), packed.toDF("bucket_2", "block_2", "rows_2", "band_2")
+    packed = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "n_shingles", "component", "sig", "shingles")).alias("rows"))
+    left, right = packed.toDF("bucket", "block", "rows"), packed.toDF("bucket_2", "block_2", "rows_2")
     met = left.join(right, (F.col("bucket") == F.col("bucket_2")) & (F.col("block") <= F.col("block_2")))
     schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
-    def arrays(rows: pa.StructScalar) -> tuple[np.ndarray, ...]:
+    def arrays(rows: pa.StructScalar) -> tuple:
         v = rows.values
-        return v.field("rep").to_numpy(), v.field("n_shingles").to_numpy(), v.field("component").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, BINS)
+        sets = [np.frombuffer(x, np.uint64) for x in v.field("shingles").to_pylist()]
+        return v.field("rep").to_numpy(), v.field("n_shingles").to_numpy(), v.field("component").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, BINS), sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for p, q, band in zip(rows.column(0), rows.column(1), rows.column(2).to_pylist(), strict=True):
-                (ra, na, ca, xa), (rb, nb, cb, xb) = arrays(p), arrays(q)
-                i, j = np.nonzero((ra[:, None] < rb[None, :]) & (ca[:, None] != cb[None, :]) & threshold.sizes_fit(na[:, None], nb[None, :]))
-                i2, j2 = np.nonzero((rb[:, None] < ra[None, :]) & (cb[:, None] != ca[None, :]) & threshold.sizes_fit(nb[:, None], na[None, :]))
-                for (r1, n1, x1, k1), (r2, n2, x2, k2) in (((ra, na, xa, i), (rb, nb, xb, j)), ((rb, nb, xb, i2), (ra, na, xa, j2))):
-                    if not len(k1):
-                        continue
-                    keep = threshold.passes(x1[k1], x2[k2], np.minimum(n1[k1], n2[k2]) < SMALL)
-                    k1, k2 = k1[keep], k2[keep]
-                    same = (x1[k1, : band * ROWS].reshape(-1, band, ROWS) == x2[k2, : band * ROWS].reshape(-1, band, ROWS)).all(axis=2).any(axis=1) if band and len(k1) else np.zeros(len(k1), bool)
-                    k1, k2 = k1[~same], k2[~same]
-                    if len(k1):
-                        yield batch(schema, [pa.array(r1[k1]), pa.array(r2[k2])])
-
-    return met.select("rows", "rows_2", "band").mapInArrow(run, schema).distinct()
+            for p, q in zip(rows.column(0), rows.column(1), strict=True):
+                (ra, na, ca, xa, sa), (rb, nb, cb, xb, sb) = arrays(p), arrays(q)
+                i, j = np.nonzero((ca[:, None] != cb[None, :]) & threshold.sizes_fit(na[:, None], nb[None, :]))
+                keep = threshold.passes(xa[i], xb[j], np.minimum(na[i], nb[j]) < SMALL)
+                i, j = i[keep], j[keep]
+                if not len(i):
+                    continue
+                c = common_counts(sa, sb)[i, j].astype(np.int64)
+                true = 100 * c >= threshold.percent * (na[i] + nb[j] - c)
+                i, j = i[true], j[true]
+                found = {(a, cc): b for a, cc, b in zip(ra[i].tolist(), cb[j].tolist(), rb[j].tolist(), strict=True)}
+                if found:
+                    yield batch(schema, [[a for a, _ in found], list(found.values())])
+
+    return met.select("rows", "rows_2").mapInArrow(run, schema)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
@@ -291,9 +316,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     classes = docs.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(F.col("id").cast("long")).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
     # a class under two ids' sets cannot be: equal ids with several texts stand for several classes, the least set first
     reps = written(classes.filter(F.col("rep").isNotNull()), "classes")
-    members = reps.select("rep", F.posexplode("bands").alias("band", "bucket"))
+    members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
-    members = written(members.join(buckets, "bucket").select("bucket", "band", "rep", "hub", "n_members"), "members")
+    members = written(members.join(buckets, "bucket").select("bucket", "rep", "hub", "n_members"), "members")
 
     pairs = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     survivors = written(surviving(pairs, reps, threshold), "survivors")
@@ -307,13 +332,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     for stage in (2, 3):
         named = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_buckets = written(named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.struct("rep", "component")).alias("last")).filter("c1 <> c2"), f"mixed{stage}")
-        still = written(named.filter("n_members > 2").join(mixed_buckets, "bucket").select("bucket", "band", "rep", "component", "n_members", F.col("last.rep").alias("last"), F.col("last.component").alias("last_component")), f"open{stage}")
+        still = written(named.filter("n_members > 2").join(mixed_buckets, "bucket").select("bucket", "rep", "component", "n_members", F.col("last.rep").alias("last"), F.col("last.component").alias("last_component")), f"open{stage}")
         if stage == 2:
             pairs = still.filter("component <> last_component").select(F.least("rep", "last").alias("a"), F.greatest("rep", "last").alias("b")).distinct()
-            more = surviving(pairs, reps, threshold)
+            more = linked(written(surviving(pairs, reps, threshold), "survivors"), sets, threshold)
         else:
-            more = block_pairs(still.join(reps.select("rep", "n_shingles", "sig"), "rep"), threshold)
-        edges = written(edges.unionByName(linked(written(more, f"survivors{stage}"), sets, threshold)), f"edges{stage}")
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
+            more = written(block_links(still.join(reps.select("rep", "n_shingles", "sig"), "rep").join(sets, "rep"), threshold).distinct(), "block-links")
+            prepare(spark)
+        edges = written(edges.unionByName(more), "edges")
         found = components(edges)
 
     named = written(reps.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "named")
