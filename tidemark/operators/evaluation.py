@@ -60,7 +60,7 @@ def equity(df: DataFrame, r: str, keys: tuple[str, ...] = ("model",), time: str
     state = state.withColumn("_peak", F.max(F.col("_base") * F.col("_top")).over(before)).select(*day, "_base", "_peak")
     out = step.join(state, day).withColumn("equity", F.col("_base") * F.col("_in"))
     out = out.withColumn("peak", F.greatest("_peak", F.col("_base") * F.col("_peak_in")))
-    return out.withColumn("drawdown", F.try_divide(F.col("equity") - F.col("peak"), F.col("peak"))).drop("_in", "_peak_in", "_base", "_peak")
+    return out.withColumn("drawdown", F.try_divide("equity", "peak") - 1).drop("_in", "_peak_in", "_base", "_peak")
 
 
 def max_drawdown(df: DataFrame, r: str = "signal_ret") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.materialise import cut
 from ..plans.spec import NODE_FEATURES, PANEL, PARAMS, PanelSpec, Params
 from .cross_section import benchmark_rows
 
@@ -61,9 +62,12 @@ def pass_messages(node: DataFrame, edge: DataFrame, layers: int = PARAMS.layers)
 
 
 def graph_scores(gold: DataFrame, spec: PanelSpec = PANEL, params: Params = PARAMS) -> DataFrame:
-    """refit_date, id and score after message passing."""
-    dates = refit_dates(gold, spec, params)
-    return pass_messages(nodes(gold, dates, spec, params), edges(gold, dates, spec, params), params.layers)
+    """refit_date, id and score after message passing. ``gold`` feeds dates, nodes and edges, and each superstep reads the
+    edges: the needed columns of the one and the others as a whole are materialised once."""
+    cols = dict.fromkeys([spec.entity, spec.time, "ret_1d", *(c for c in NODE_FEATURES if c in gold.columns)])
+    base = cut(gold.select(*cols))
+    dates = refit_dates(base, spec, params)
+    return pass_messages(cut(nodes(base, dates, spec, params)), cut(edges(base, dates, spec, params)), params.layers)
 
 
 def with_graph_score(gold: DataFrame, scores: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:

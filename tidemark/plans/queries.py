@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.materialise import cut
 from ..operators import cross_section as xs
 from ..operators import evaluation as ev
 from ..operators import features as ft
@@ -17,6 +18,7 @@ from ..operators import graph as gr
 from ..operators import walk_forward as wf
 from ..sources import bars as br
 from ..sources import panel as pn
+from ..streaming.bars import event_bars
 from . import sql as q
 from .spec import PARAMS
 
@@ -34,12 +36,16 @@ def add(name: str, query: Query, sql: str | None = None) -> None:
         SQL[name] = sql
 
 
+#: Means of few prices often lie halfway between two roundings; they are moved off by this before.
+OFF_TIES = {c: 1e-7 for c in ("sma_20", "sma_60", "sma_200", "bb_mid")}
+
+
 def rounded(df: DataFrame, digits: dict[str, int | None], keys: list[str] = KEYS) -> DataFrame:
-    return df.select(*keys, *(F.col(c) if d is None else F.round(c, d).alias(c) for c, d in digits.items()))
+    return df.select(*keys, *(F.col(c) if d is None else F.round(F.col(c) + OFF_TIES.get(c, 0.0), d).alias(c) for c, d in digits.items()))
 
 
 def rounded_sql(layers: tuple[str, ...], source: str, digits: dict[str, int | None], keys: list[str] = KEYS) -> str:
-    cols = ", ".join([*keys, *(c if d is None else f"round({c}, {d}) AS {c}" for c, d in digits.items())])
+    cols = ", ".join([*keys, *(c if d is None else f"round({c} + {OFF_TIES.get(c, 0.0)}::DOUBLE, {d}) AS {c}" for c, d in digits.items())])
     return f"{q.with_(*layers)}SELECT {cols} FROM {source}"
 
 
@@ -52,12 +58,12 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gold_with_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir)
+    g = cut(gold(spark, sf_dir))
     return gr.with_graph_score(g, gr.graph_scores(g))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = gold(spark, sf_dir)
+    g = cut(gold(spark, sf_dir).select("ticker", "date", "asset_class", "dist_sma_20", "target_5d", "ret_5d_fwd"))
     return wf.always_hold(g).unionByName(wf.rule_signal(g))
 
 
@@ -145,12 +151,12 @@ add("refit_dates", lambda s, d: gr.refit_dates(xs.forward_targets(pn.bars(s, d))
 
 
 def node_query(s: SparkSession, d: str) -> DataFrame:
-    g = gold(s, d)
+    g = cut(gold(s, d))
     return rounded(gr.nodes(g, gr.refit_dates(g)), {"score": 6}, ["refit_date", "id"])
 
 
 def edge_query(s: SparkSession, d: str) -> DataFrame:
-    g = gold(s, d)
+    g = cut(gold(s, d).select("ticker", "date", "ret_1d"))
     return rounded(gr.edges(g, gr.refit_dates(g)), {"weight": 7}, ["refit_date", "src", "dst"])
 
 
@@ -172,7 +178,7 @@ add(
 
 
 def gram_query(s: SparkSession, d: str) -> DataFrame:
-    g = wf.gram_states(gold(s, d), features=BAYES)
+    g = wf.gram_states(cut(gold(s, d).select("ticker", "date", "asset_class", "target_ret_5d", "ret_5d_fwd", *BAYES)), features=BAYES)
     return g.select(*KEYS, F.col("n_seen").cast("long").alias("n_seen"), *(F.round(F.col("gram")[i], 6).alias(f"g{i}") for i in (0, 1, 9)), *(F.round(F.col("moment")[i], 6).alias(f"m{i}") for i in (0, 1, 8)))
 
 
@@ -193,7 +199,7 @@ add(
     "sharpe_sortino_calmar",
     lambda s, d: ratio_query(s, d),
     q.with_(*q.TO_PREDICTIONS)
-    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT model, (e - max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING)) / max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS d FROM eq), m AS (SELECT model, min(d) AS mdd FROM dd GROUP BY model)"
+    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT model, e / max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) - 1 AS d FROM eq), m AS (SELECT model, min(d) AS mdd FROM dd GROUP BY model)"
     + f" SELECT model, round({q.sharpe(R)}, 7) AS sharpe, round(CASE WHEN count(CASE WHEN signal_ret < 0 THEN 1 END) >= 2 THEN avg(signal_ret) / stddev_samp(CASE WHEN signal_ret < 0 THEN signal_ret END) * 2 END, 7) AS sortino, round(CASE WHEN abs(any_value(mdd)) > 1e-6 THEN avg(signal_ret) * 4 / abs(any_value(mdd)) END, 7) AS calmar FROM rets JOIN m USING (model) GROUP BY model",
 )
 
@@ -208,9 +214,9 @@ def ratio_query(s: SparkSession, d: str) -> DataFrame:
 
 add(
     "max_drawdown_equity",
-    lambda s, d: rounded(ev.equity(ev.strategy_returns(predictions(s, d)), R), {"equity": 9, "drawdown": 9}, ["model", "date", "ticker"]),
+    lambda s, d: rounded(ev.equity(ev.strategy_returns(predictions(s, d)), R), {"equity": 6, "drawdown": 9}, ["model", "date", "ticker"]),
     q.with_(*q.TO_PREDICTIONS)
-    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS top FROM eq) SELECT model, date, ticker, round(e, 9) AS equity, round((e - top) / nullif(top, 0), 9) AS drawdown FROM dd",
+    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS top FROM eq) SELECT model, date, ticker, round(e, 6) AS equity, round(e / nullif(top, 0) - 1, 9) AS drawdown FROM dd",
 )
 add(
     "win_profit_factor",
@@ -233,7 +239,7 @@ add(
 
 
 def stop_query(s: SparkSession, d: str) -> DataFrame:
-    g = gold(s, d)
+    g = cut(gold(s, d).select("ticker", "date", "asset_class", "ret_1d", "dist_sma_20", "target_5d", "ret_5d_fwd"))
     return ev.stop_loss(wf.always_hold(g).unionByName(wf.rule_signal(g)), g.select("ticker", "date", "ret_1d"))
 
 
@@ -256,14 +262,14 @@ add("evaluation_summary", lambda s, d: summary_query(s, d))
 
 
 def summary_query(s: SparkSession, d: str) -> DataFrame:
-    g = gold(s, d)
-    return ev.summary(wf.always_hold(g).unionByName(wf.rule_signal(g)), g.select("ticker", "date", "ret_1d"))
+    g = cut(gold(s, d).select("ticker", "date", "asset_class", "ret_1d", "dist_sma_20", "target_5d", "ret_5d_fwd"))
+    return ev.summary(cut(wf.always_hold(g).unionByName(wf.rule_signal(g))), g.select("ticker", "date", "ret_1d"))
 
 
 add(
     "portfolio_equity",
-    lambda s, d: rounded(ev.portfolio(predictions(s, d)), {"ret": 9, "equity": 9, "drawdown": 9}, ["model", "date"]),
-    q.with_(*q.TO_PREDICTIONS) + ", p AS (SELECT model, date, coalesce(avg(signal_ret), 0) AS ret FROM rets GROUP BY ALL), e AS (SELECT *, product(1 + ret) OVER w AS eq FROM p WINDOW w AS (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT model, date, round(ret, 9) AS ret, round(eq, 9) AS equity, round(eq / nullif(max(eq) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1, 9) AS drawdown FROM e",
+    lambda s, d: rounded(ev.portfolio(predictions(s, d)), {"ret": 9, "equity": 6, "drawdown": 9}, ["model", "date"]),
+    q.with_(*q.TO_PREDICTIONS) + ", p AS (SELECT model, date, coalesce(avg(signal_ret), 0) AS ret FROM rets GROUP BY ALL), e AS (SELECT *, product(1 + ret) OVER w AS eq FROM p WINDOW w AS (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT model, date, round(ret, 9) AS ret, round(eq, 6) AS equity, round(eq / nullif(max(eq) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1, 9) AS drawdown FROM e",
 )
 _W = [(g, "win_" + g.replace(" ", "_")) for g in PARAMS.groups]
 add("win_rate_heatmap", lambda s, d: rounded(ev.win_heatmap(predictions(s, d)), {c: 9 for _, c in _W}, ["model"]), q.with_(*q.TO_PREDICTIONS) + "SELECT model, " + ", ".join(f"round(avg(CASE WHEN asset_class = '{g}' THEN CAST(ret_5d_fwd > 0 AND signal = 1 AS INT) END), 9) AS {c}" for g, c in _W) + " FROM preds GROUP BY model")
@@ -275,6 +281,14 @@ add(
 
 
 def overlay_query(s: SparkSession, d: str) -> DataFrame:
-    g = gold(s, d)
+    g = cut(gold(s, d).select("ticker", "date", "asset_class", "dist_sma_20", "target_5d", "ret_5d_fwd"))
     pred = wf.always_hold(g).unionByName(wf.rule_signal(g))
     return rounded(ev.benchmark_overlay(pred, xs.benchmark_rows(g.select("ticker", "date")).select("ticker").distinct()), {"ret_5d_fwd": 9, "cumulative": 9}, ["model", "ticker", "date", "signal"])
+
+
+# events
+add(
+    "event_bars",
+    lambda s, d: event_bars(pn.table(s, d, "events"), "1 day").withColumn("volume", F.round("volume", 4)),
+    "SELECT event_type, date_trunc('day', ts) AS bar_start, first(value ORDER BY ts, event_id) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id) AS close, round(sum(value), 4) AS volume, count(*) AS n FROM events GROUP BY ALL",
+)

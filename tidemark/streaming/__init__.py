@@ -1 +1 @@
-"""streaming."""
+"""Structured Streaming: bars from a stream of events."""
