@@ -55,6 +55,10 @@ AROUND_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|footer|masthead|site-?header|page-?header|header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|comments?|commentlist|respond|replies|disqus|pagination|pager|toolbar|complementary|contentinfo|search|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Of these an article element itself can be one, as comments and teasers often are.
+AROUND_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser widget".split())
+#: A name that begins so tells what an element has or lacks, not what it is.
+ABOUT = frozenset("has with without no is not".split())
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 SPACE = re.compile(r"\s+")
 TOKEN = re.compile(r"[^\W\d_]+")
@@ -94,7 +98,12 @@ class Blocks(HTMLParser):
             return ""
         if tag in AROUND:
             return "around"
-        if tag not in ("body", "html") and any(AROUND_NAMES.search(named[k]) for k in ("class", "id", "role") if k in named) and tag not in ARTICLE:
+        names = [n for k in ("class", "id", "role") for n in named.get(k, "").split()]
+        names = [n for n in names if re.split("[_-]", n.lower(), maxsplit=1)[0] not in ABOUT]
+        if tag in ARTICLE:
+            if any(AROUND_ARTICLES & {*re.split("[_-]", n.lower())} for n in names):
+                return "around"
+        elif tag not in ("body", "html") and any(AROUND_NAMES.search(n) for n in names if not (self.depth["article"] and n.lower().endswith("header"))):
             return "around"
         return "article" if tag in ARTICLE else "heading" if tag in HEADINGS else "a" if tag == "a" else ""
 
