@@ -43,7 +43,8 @@ BASE_BYTES = 4096
 #: Candidate numbers of windows in the toxic tail, and candidate thresholds of the gap.
 TAILS = (16, 64)
 GAPS = (3, 4, 5, 6)
-LEAST_CONTRAST = 4.0
+#: Standard deviations of excess, and toxic rows, that a window of the toxic dictionary needs.
+LEAST_CONTRAST, LEAST_ROWS = 4.0, 5
 LEVEL = 19
 #: Windows whose gap a worker remembers, twice.
 CACHE = 200_000
@@ -144,9 +145,10 @@ def contrast(toxic: list[str], ordinary: list[str]) -> list[tuple[float, str]]:
         return Counter(w for _, w, _ in seen)
 
     a, b = surroundings(toxic), surroundings(ordinary)
+    rows = Counter(w for t in toxic for w in set(windows(t)))
     share = sum(a.values()) / max(1, sum(a.values()) + sum(b.values()))
     spread = share * (1 - share) or 1.0
-    return sorted((((n := a[w] + b[w]) * share - a[w]) / math.sqrt(n * spread), w) for w in a if a[w] >= 3)
+    return sorted((((n := a[w] + b[w]) * share - a[w]) / math.sqrt(n * spread), w) for w in a if rows[w] >= LEAST_ROWS)
 
 
 def fit(rows: list[tuple[int, str, int]]) -> Model:
