@@ -261,7 +261,7 @@ _VAR = " + ".join(["var_samp(d) / count(*)", *(f"2 * (1 - {k} / 5.0) * coalesce(
 add(
     "dm_statistic",
     lambda s, d: rounded(ev.dm_statistic(predictions(s, d)), {"n": None, "dm_stat": 6}, ["model"]),
-    q.with_(*q.TO_PREDICTIONS) + f", b AS (SELECT m.model, m.ticker, m.date, a.signal_ret * a.signal_ret - m.signal_ret * m.signal_ret AS d FROM rets m JOIN rets a ON a.model = 'always_hold' AND a.ticker = m.ticker AND a.date = m.date WHERE m.model <> 'always_hold'), l AS (SELECT *, {_LAGS} FROM b WINDOW w AS (PARTITION BY model ORDER BY ticker, date)) SELECT model, count(*) AS n, round(avg(d) / sqrt(greatest({_VAR}, 1e-12)), 6) AS dm_stat FROM l GROUP BY model",
+    q.with_(*q.TO_PREDICTIONS) + f", b AS (SELECT m.model, m.ticker, m.date, a.signal_ret * a.signal_ret - m.signal_ret * m.signal_ret AS d FROM rets m JOIN rets a ON a.model = 'always_hold' AND a.ticker = m.ticker AND a.date = m.date WHERE m.model <> 'always_hold'), l AS (SELECT *, {_LAGS} FROM b WINDOW w AS (PARTITION BY model ORDER BY ticker, date)) SELECT model, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(d) / sqrt(greatest({_VAR}, 1e-12)), 6) END AS dm_stat FROM l GROUP BY model",
 )
 add("dm_tests", lambda s, d: ev.dm_tests(predictions(s, d)))
 add("bootstrap_sharpe_ci", lambda s, d: ev.bootstrap_sharpe(ev.strategy_returns(predictions(s, d))))
