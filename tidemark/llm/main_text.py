@@ -3,9 +3,11 @@
 Pass one looks at a block alone: its link density, its length and the density of stop words make it
 good or bad, or leave it undecided ("short" or "near"). Pass two gives an undecided block the label of
 its nearest decided neighbours; if the two sides differ, the nearer one decides, and at equal distance
-a "near" block is good and a "short" one follows its container. The container counts as context: what
-stands in a menu, page header, footer, sidebar, notice, advert, form or comment list is bad from the
-start and is nobody's neighbour, and an article's blocks cannot become bad by their brevity alone.
+a "near" block is good and a "short" one bad. The container counts as context: what stands in a menu,
+page header, footer, sidebar, notice, advert, form or comment list is bad from the start and is nobody's
+neighbour. An article or main element is a prior only: it makes pass one milder by a class within it, its edges
+count as good neighbours within and as bad ones outside, and it moves the balance between two different neighbours
+by one block. What pass one calls good stays good outside too, and an article with less text than that is no prior.
 
 Defined cases: null or empty html gives the empty text; unclosed tags end with their container; a page
 without any container is judged by the block rules alone; a page whose blocks all stay undecided
@@ -181,44 +183,43 @@ def first_pass(block: Block, text: str) -> str:
 
 
 def second_pass(blocks: list[Block]) -> None:
-    """Undecided blocks take the label of their nearest decided neighbours in the same kind of container."""
+    """Undecided blocks take the label of their nearest decided neighbours in the same kind of container. On a
+    page with an article the container's edge is a neighbour too, good for an article's blocks and bad for others."""
     n = len(blocks)
-    decided = [b.label if b.label in ("good", "bad") else "" for b in blocks]
-    before: list[tuple[int, str]] = []
-    last = (n + 1, "")
-    for i in range(n):
-        if i and blocks[i].article != blocks[i - 1].article:
-            last = (n + 1, "")
-        last = (1, decided[i]) if decided[i] else (last[0] + 1, last[1])
-        before.append(last)
-    after: list[tuple[int, str]] = [(0, "")] * n
-    last = (n + 1, "")
-    for i in range(n - 1, -1, -1):
-        if i < n - 1 and blocks[i].article != blocks[i + 1].article:
-            last = (n + 1, "")
-        last = (1, decided[i]) if decided[i] else (last[0] + 1, last[1])
-        after[i] = last
-    some_article = any(b.article for b in blocks)
-    some_good = "good" in decided
-    for i, b in enumerate(blocks):
-        if decided[i]:
-            continue
-        (d0, left), (d1, right) = before[i], after[i]
-        if b.article:
-            # within an article a link list is the only bad neighbour, and it does not make prose bad
-            b.label = "good"
-        elif some_article:
-            b.label = "bad"
+    named = any(b.article for b in blocks)
+    some_good = any(b.label == "good" for b in blocks)
+
+    def nearest(order: range) -> list[tuple[int, str]]:
+        """Of each block the distance and label of the last decided one in this order."""
+        out: list[tuple[int, str]] = [(0, "")] * n
+        last, previous = (0, ""), None
+        for i in order:
+            b = blocks[i]
+            if previous is None or b.article != previous.article:
+                last = (0, ("good" if b.article else "bad") if named else "")
+            last = (last[0] + 1, last[1])
+            out[i] = last
+            if b.label in ("good", "bad"):
+                last = (0, b.label)
+            previous = b
+        return out
+
+    before, after = nearest(range(n)), nearest(range(n - 1, -1, -1))
+    labels = []
+    for b, (d0, left), (d1, right) in zip(blocks, before, after, strict=True):
+        if b.label in ("good", "bad"):
+            labels.append(b.label)
         elif not left and not right:
-            b.label = "bad" if some_good else "good"
-        elif left == right or not right:
-            b.label = left
-        elif not left:
-            b.label = right
-        elif b.label == "near" or b.heading:
-            b.label = "good" if d0 == d1 or b.heading else left if d0 < d1 else right
+            labels.append("bad" if some_good else "good")
+        elif left == right or not left or not right:
+            labels.append(left or right)
         else:
-            b.label = left if d0 < d1 else right if d1 < d0 else "bad"
+            # the container moves the balance by one block
+            balance = (d1 - d0 if left == "good" else d0 - d1) + ((1 if b.article else -1) if named else 0)
+            fine = balance > 0 or (balance == 0 and b.label == "near") or (b.heading and (b.article or not named))
+            labels.append("good" if fine else "bad")
+    for b, label in zip(blocks, labels, strict=True):
+        b.label = label
 
 
 def main_blocks(html: str) -> list[str]:
@@ -230,10 +231,11 @@ def main_blocks(html: str) -> list[str]:
     blocks = [b for b, _ in texts]
     for b, t in texts:
         b.label = first_pass(b, t)
-    if any(b.article for b in blocks):
-        for b in blocks:
-            if not b.article and b.label == "good":
-                b.label = "bad"  # the page names its article; the rest stands around it
+    inside = sum(len(t) for b, t in texts if b.article and b.label != "bad")
+    if inside < sum(len(t) for b, t in texts if not b.article and b.label == "good"):
+        for b, t in texts:  # more prose stands outside: the article is a card or a teaser, and tells nothing
+            b.article = False
+            b.label = first_pass(b, t)
     second_pass([b for b in blocks if not b.around])  # what stands around the content is nobody's neighbour
     return [t for b, t in texts if b.label == "good"]
 
