@@ -1,15 +1,17 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries share a base trained on ordinary text; one ends with windows of ordinary,
-the other with windows of toxic text. A window (a word, lower-cased, written as pairs of
+the other with windows of toxic text. A window (one to three words, lower-cased, written as pairs of
 adjacent characters behind a lead-in that both dictionaries hold, so that its block is always coded) is compressed with both; the bytes that the toxic
 dictionary saves are its gap. A document's windows with a gap of the calibrated threshold or more, their
 share and its largest gaps give the score through a logistic curve fitted on labelled rows that the
 dictionaries have not seen.
 
-Toxic windows are chosen by contrast: how often a window stands in distinct surroundings in toxic and in
-ordinary rows. Copies of a text share their surroundings and so count once. The number of windows in the
-dictionary and the threshold are those with the least loss on the calibration rows.
+Toxic windows are chosen by Fisher's exact test on the labelled rows that hold them, toxic and ordinary ones. A
+row counts if it holds the window in surroundings that no row before it had; copies of a text so count once,
+and so does a row that repeats a word. A window of several words is only tested if no shorter window in it passes.
+All that pass go into the dictionary, up to ``TAIL_BYTES``. The level of the test and the threshold are those
+with the least loss on the calibration rows.
 
 Only ``SAMPLE`` labelled rows of each class, those with the least hash, and of at most ``SAMPLE_BYTES``
 bytes, are fetched for fitting. Every row is scored over its whole text.
@@ -21,6 +23,7 @@ a label row that is null or has no document is left out; repeated label rows wit
 
 from __future__ import annotations
 
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -40,18 +43,21 @@ SAMPLE, SAMPLE_BYTES = 2000, 65536
 FOLDS = 5
 
 BASE_BYTES = 4096
-#: Candidate numbers of windows in the toxic tail, and candidate thresholds of the gap.
-TAILS = (16, 64)
+#: Bytes of the toxic tail, and words of a window.
+TAIL_BYTES = 1 << 16
+WORDS = 3
+#: Candidate levels of the test that a window of the toxic dictionary passes (of equal ones the loosest is taken), and candidate thresholds of the gap.
+LEVELS = (1e-2, 1e-4, 1e-6)
 GAPS = (3, 4, 5, 6)
-#: Standard deviations of excess, and toxic rows, that a window of the toxic dictionary needs.
-LEAST_CONTRAST, LEAST_ROWS = 4.0, 5
 LEVEL = 19
 #: Windows whose gap a worker remembers, twice.
 CACHE = 200_000
 
 
-def windows(text: str) -> list[str]:
-    return text.lower().split()
+def windows(text: str, size: int = 1) -> list[str]:
+    """The windows of ``size`` words."""
+    words = text.lower().split()
+    return words if size == 1 else [" ".join(w) for w in zip(*(words[i:] for i in range(size)), strict=False)]
 
 
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -68,14 +74,18 @@ def spread(window: str) -> bytes:
 def tail(chosen: list[str], size: int | None = None) -> bytes:
     """The windows, best last (near the data, where references are cheap)."""
     out = b"".join(spread(w) for w in reversed(chosen))
-    return out if size is None else out[-size:].rjust(size, b" ")
+    return out[-TAIL_BYTES:] if size is None else out[-size:].rjust(size, b" ")
 
 
 class Gaps:
     """Bytes that the toxic dictionary saves on a window."""
 
-    def __init__(self, base: bytes, ordinary: bytes, toxic: bytes, lead: bytes) -> None:
-        self.parts = (base, ordinary, toxic, lead)
+    def __init__(self, base: bytes, ordinary: bytes, toxic: bytes, lead: bytes, phrases: list[str]) -> None:
+        self.parts = (base, ordinary, toxic, lead, phrases)
+        self.begins: dict[str, list[list[str]]] = {}
+        for p in phrases:
+            first, *rest = p.split(" ")
+            self.begins.setdefault(first, []).append(rest)
         self.plain, self.toxic = compressor(base + ordinary + lead), compressor(base + toxic + lead)
         self.lead = lead
         self.recent: dict[str, int] = {}
@@ -90,9 +100,11 @@ class Gaps:
 
     def features(self, text: str, threshold: int) -> tuple[float, float, float, float]:
         recent, older = self.recent, self.older
-        found, n = [], 0
-        for w in windows(text):
-            n += 1
+        words = windows(text)
+        found, n = [], len(words)
+        # windows of several words that the dictionary does not hold save no more than their words do
+        phrases = [" ".join((w, *rest)) for i, w in enumerate(words) if w in self.begins for rest in self.begins[w] if words[i + 1 : i + 1 + len(rest)] == rest] if self.begins else []
+        for w in itertools.chain(words, phrases):
             g = recent.get(w)
             if g is None:
                 g = older.get(w)
@@ -134,21 +146,62 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarr
     return w, float(-(y * np.log(p) + (1 - y) * np.log(1 - p)).mean())
 
 
-def contrast(toxic: list[str], ordinary: list[str]) -> list[tuple[float, str]]:
-    """Windows by the excess of their distinct surroundings in toxic rows, in standard deviations."""
+def row_counts(texts: list[str], size: int, known: set[str] | None = None) -> Counter:
+    """Rows of each window (of ``known`` ones) that hold it in surroundings of their own."""
+    seen: set[int] = set()
+    out: Counter = Counter()
+    for t in texts:
+        words, found = windows(t), set()
+        last = len(words) - size
+        for i, w in enumerate(windows(t, size)):
+            if known is None or w in known:
+                h = hash((words[i - 1] if i else "", w, words[i + size] if i < last else ""))
+                if h not in seen:
+                    seen.add(h)
+                    found.add(w)
+        out.update(found)
+    return out
+
+
+def chance(a: int, b: int, toxic: int, ordinary: int) -> float:
+    """Fisher's exact test: the chance that of a + b rows a or more are toxic."""
+
+    def ways(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    total = ways(toxic + ordinary, a + b)
+    return min(1.0, sum(math.exp(ways(toxic, k) + ways(ordinary, a + b - k) - total) for k in range(max(a, a + b - ordinary), min(toxic, a + b) + 1)))
 
-    def surroundings(texts: list[str]) -> Counter:
-        seen = set()
-        for t in texts:
-            w = windows(t)
-            seen.update(zip(["", *w], w, [*w[1:], ""], strict=False))
-        return Counter(w for _, w, _ in seen)
 
-    a, b = surroundings(toxic), surroundings(ordinary)
-    rows = Counter(w for t in toxic for w in set(windows(t)))
-    share = sum(a.values()) / max(1, sum(a.values()) + sum(b.values()))
-    spread = share * (1 - share) or 1.0
-    return sorted((((n := a[w] + b[w]) * share - a[w]) / math.sqrt(n * spread), w) for w in a if rows[w] >= LEAST_ROWS)
+def contrast(toxic: list[str], ordinary: list[str]) -> list[tuple[float, str]]:
+    """Windows by the chance of their excess in toxic rows. Of several words only those that could pass the
+    loosest level by their rarest word, and that hold no shorter window that passes it."""
+    tested: dict[tuple[int, int], float] = {}
+
+    def test(a: int, b: int) -> float:
+        if (a, b) not in tested:
+            tested[a, b] = chance(a, b, len(toxic), len(ordinary))
+        return tested[a, b]
+
+    out: list[tuple[float, str]] = []
+    passed: set[str] = set()
+    frequent: set[str] = set()
+    for size in range(1, WORDS + 1):
+        if size == 1:
+            a = row_counts(toxic, 1)
+        else:
+            parts = {w for t in toxic for w in windows(t, size) if all(x in frequent and x not in passed for x in w.split(" "))}
+            if size > 2:
+                parts = {w for w in parts if not any(" ".join(w.split(" ")[i : i + n]) in passed for n in range(2, size) for i in range(size - n + 1))}
+            a = row_counts(toxic, size, parts)
+        if size == 1:
+            rows = Counter(w for t in toxic for w in set(windows(t)))
+            frequent = {w for w, n in rows.items() if test(n, 0) <= LEVELS[0]}
+        b = row_counts(ordinary, size, set(a))
+        ranked = [(test(n, b[w]), w) for w, n in a.items()]
+        passed |= {w for p, w in ranked if p <= LEVELS[0]}
+        out += ranked if size == 1 else [(p, w) for p, w in ranked if p <= LEVELS[0]]
+    return sorted(out)
 
 
 def fit(rows: list[tuple[int, str, int]]) -> Model:
@@ -157,35 +210,38 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     labels = [r[2] for r in rows]
     prior = sum(labels) / max(1, len(labels))
     constant = Model(None, 0, [], min(prior, 0.49) if prior < 0.5 else max(prior, 0.51))
+    if len(set(labels)) < 2:
+        return constant
     unseen = [zlib.crc32(b"calibrate%d" % r[0]) % 3 == 0 for r in rows]
-    toxic = [r[1] for r, u in zip(rows, unseen, strict=True) if r[2] and not u]
-    ordinary = [r[1] for r, u in zip(rows, unseen, strict=True) if not r[2] and not u]
-    held = [r for r, u in zip(rows, unseen, strict=True) if u]
-    if not toxic or not ordinary or len({r[2] for r in held}) < 2:
+    held, fitting = ([r for r, u in zip(rows, unseen, strict=True) if u == v] for v in (True, False))
+    if any(len({r[2] for r in part}) < 2 for part in (held, fitting)):
         return constant
+    toxic, ordinary = ([r[1] for r in fitting if r[2] == v] for v in (1, 0))
     ranked = contrast(toxic, ordinary)
-    chosen = [w for z, w in ranked if -z >= LEAST_CONTRAST]
+    if not ranked:  # toxic rows without a word
+        return constant
     samples = [spread(w) for t in ordinary for w in windows(t)]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too little text
         return constant
-    if not chosen:
-        return constant
-    usual = [w for _, w in reversed(ranked[-4 * max(TAILS) :])] or ["the"]
+    usual = [w for _, w in reversed([x for x in ranked if " " not in x[1]][-256:])]
     lead = b"".join(spread(w) for w, _ in Counter(w for t in ordinary for w in windows(t)).most_common(4))
     y = np.array([r[2] for r in held], float)
     best: tuple[float, Model] | None = None
-    for size in TAILS:
-        tox = tail(chosen[:size])
-        gaps = Gaps(base, tail(usual, len(tox)), tox, lead)
+    before = -1
+    for level in LEVELS:
+        chosen = [w for p, w in ranked if p <= level]
+        if not chosen or len(chosen) == before:
+            continue
+        before = len(chosen)
+        tox = tail(chosen)
+        gaps = Gaps(base, tail(usual, len(tox)), tox, lead, [w for w in chosen if " " in w])
         for threshold in GAPS:
             w, loss = logistic(np.array([gaps.features(r[1], threshold) for r in held]), y)
             if best is None or loss < best[0] - 1e-4:
                 best = loss, Model(gaps, threshold, w.tolist(), prior)
-        if size >= len(chosen):
-            break
-    return best[1]  # type: ignore[index]
+    return best[1] if best else constant
 
 
 def crc_remainder(key: str) -> F.Column:
