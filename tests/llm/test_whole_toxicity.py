@@ -42,3 +42,12 @@ def test_phrases_of_ordinary_words():
 
     model = toxicity.fit(corpus(900, 3, insert))
     assert right(model, corpus(300, 4, insert)) >= 0.9
+
+
+def test_few_labelled_rows_give_no_constant():
+    def insert(rng, words, label):
+        for _ in range(3 * label):
+            words.insert(rng.randrange(len(words)), rng.choice(INSULTS[:4]))
+
+    model = toxicity.fit(corpus(20, 5, insert))
+    assert model.score(" ".join([*ORDINARY[:40], *INSULTS[:4]])) > 0.5 > model.score(" ".join(ORDINARY[:40]))

@@ -18,6 +18,8 @@ bytes, are fetched for fitting. Every row is scored over its whole text.
 
 Defined cases: null and empty texts have no windows and the score of a document without toxic windows;
 with no labelled rows of one class every score is the share of toxic rows (0 if there are none), kept off 0.5;
+with so few of one class that none would be set aside, all rows train and calibrate; without a window that passes the
+test those with the least chance are taken;
 a label row that is null or has no document is left out; repeated label rows with two verdicts count as toxic.
 """
 
@@ -215,7 +217,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     unseen = [zlib.crc32(b"calibrate%d" % r[0]) % 3 == 0 for r in rows]
     held, fitting = ([r for r, u in zip(rows, unseen, strict=True) if u == v] for v in (True, False))
     if any(len({r[2] for r in part}) < 2 for part in (held, fitting)):
-        return constant
+        held = fitting = rows  # too few rows of a class to set some aside
     toxic, ordinary = ([r[1] for r in fitting if r[2] == v] for v in (1, 0))
     ranked = contrast(toxic, ordinary)
     if not ranked:  # toxic rows without a word
@@ -223,16 +225,17 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
     samples = [spread(w) for t in ordinary for w in windows(t)]
     try:
         base = zstandard.train_dictionary(BASE_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too little text
-        return constant
+    except zstandard.ZstdError:  # too little text: it is the dictionary itself
+        base = b"".join(dict.fromkeys(samples))[-BASE_BYTES:]
     usual = [w for _, w in reversed([x for x in ranked if " " not in x[1]][-256:])]
     lead = b"".join(spread(w) for w, _ in Counter(w for t in ordinary for w in windows(t)).most_common(4))
     y = np.array([r[2] for r in held], float)
     best: tuple[float, Model] | None = None
     before = -1
     for level in LEVELS:
-        chosen = [w for p, w in ranked if p <= level]
-        if not chosen or len(chosen) == before:
+        # without any window that passes, the most telling ones
+        chosen = [w for p, w in ranked if p <= max(level, ranked[0][0])]
+        if len(chosen) == before:
             continue
         before = len(chosen)
         tox = tail(chosen)
@@ -241,7 +244,7 @@ def fit(rows: list[tuple[int, str, int]]) -> Model:
             w, loss = logistic(np.array([gaps.features(r[1], threshold) for r in held]), y)
             if best is None or loss < best[0] - 1e-4:
                 best = loss, Model(gaps, threshold, w.tolist(), prior)
-    return best[1] if best else constant
+    return best[1]  # type: ignore[index]
 
 
 def crc_remainder(key: str) -> F.Column:
