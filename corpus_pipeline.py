@@ -20,10 +20,15 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier calls toxic go."""
+    """Documents that the classifier calls toxic go.
+
+    Null and empty texts score as documents without toxic windows; null and repeated ids are scored by their own text and
+    stay or go one by one; an empty table gives an empty one; columns of any name stay as they are.
+    """
     labels = common.read(spark, sf_dir, "labels")
-    scored = toxicity_scores(docs, learn(docs, labels), docs.columns)
-    return scored.filter("predicted = 0").select(*docs.columns)
+    score, predicted = common.fresh(docs, "score", "predicted")
+    scored = toxicity_scores(docs, learn(docs, labels), docs.columns, score=score, predicted=predicted)
+    return scored.filter(F.col(predicted) == 0).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
