@@ -1,6 +1,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -161,7 +162,7 @@ def test_near_duplicates_against_brute_force(spark, size, percent):
                 w[rng.randrange(len(w))] = sentence(rng, 1)
             texts.append(" ".join(w))
     got = near_dedup.near_duplicates(docs(spark, texts), size=size, percent=percent).orderBy("id").collect()
-    assert [tuple(r) for r in got] == links(texts, size, percent)
+    assert [(r["id"], r["n_shingles"], r["component_id"], r["kept"]) for r in got] == links(texts, size, percent)
 
 
 def test_components_of_a_long_chain(spark):
@@ -172,7 +173,7 @@ def test_components_of_a_long_chain(spark):
 
 def test_bounds_refuse_only_what_is_far():
     least = near_dedup.least_matches(0.85)
-    assert all(0 < m < 0.85 * n for n, m in least.items())
+    assert all(m < 0.85 * n for n, m in enumerate(least) if n) and all(m > 0 for m in least[32:]) and least[0] == 0
     sets = [np.unique(np.random.default_rng(k).integers(0, 1 << 63, 300).astype(np.uint64)) for k in range(3)]
     assert near_dedup.common_counts([sets[0][:200], sets[1]], [sets[0][100:], sets[2]]).tolist() == [[100, 0], [0, 0]]
 
@@ -181,6 +182,21 @@ def test_empty_documents(spark):
     assert near_dedup.near_duplicates(docs(spark, ["a"]).limit(0)).count() == 0
 
 
+def test_links_of_repeated_and_missing_ids(spark):
+    rng = random.Random(9)
+    x, y, z = (sentence(rng, 60) for _ in range(3))
+    rows = [(1, x), (1, y), (2, x + " end"), (3, y + " end"), (None, z), (None, z), (None, z + " end"), (None, sentence(rng, 50)), (None, ""), (None, x + " stop"), (7, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_dedup.near_duplicates(df).collect()
+    seen = Counter((r["id"], r["component_id"], r["kept"]) for r in got)
+    assert seen[1, 1, True] == 2 and seen[2, 1, False] == seen[3, 1, False] == seen[None, 1, False] == 1 and seen[7, 7, True] == 1
+    alone = [r for r in got if r["id"] is None and r["component_id"] is None]
+    # z twice and its near copy: one text of them stays; the other one and the empty one stay too
+    assert len(alone) == 5 and len({r["text_hash"] for r in alone if r["kept"]}) == 3
+    kept = corpus_pipeline.near_dedup(spark, df, SF).collect()
+    assert sorted(((r["doc_id"] is None, r["doc_id"] or 0) for r in kept)) == [(False, 1), (False, 1), (False, 7), (True, 0), (True, 0), (True, 0)]
+
+
 # toxicity
 
 

@@ -1,26 +1,29 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set holds the hashes of its distinct word shingles; documents with equal sets form a class
-that its smallest id stands for. A signature is a one-permutation MinHash of ``BINS`` bins (empty bins
-copy a bin chosen by a fixed random sequence); ``BANDS`` bands of ``ROWS`` bins make buckets.
+that the 128-bit hash of its set stands for. A signature is a one-permutation MinHash of ``BINS`` bins; ``BANDS``
+bands of ``ROWS`` bins make buckets, for which empty bins copy a bin chosen by a fixed random sequence.
 
 Candidates of a bucket are verified in three stages, so that no bucket, however large, gives all its pairs:
 
-1. every member with the bucket's smallest id;
-2. where a bucket still holds two components, every member of another one with the bucket's largest id;
+1. every member with the bucket's least class;
+2. where a bucket still holds two components, every member of another one with the bucket's greatest class;
 3. where it still does, members of different components meet in blocks of ``BLOCK``: a task compares the
    signatures of two blocks as arrays, verifies what the bounds cannot refuse, and lets out links only.
 
 Pairs within one component need no verification, as they cannot change it. A candidate's signatures are
-compared in batches; after each the posterior of its similarity is known (a Beta distribution), and a pair
-whose chance to reach the threshold is under ``MISS`` is dropped. Survivors are verified exactly on their full sets.
+compared in batches; after each the posterior of its similarity is known (a Beta distribution over the bins that are
+not empty in both), and a pair whose chance to reach the threshold is under ``MISS`` is dropped. Survivors are verified
+exactly on their full sets.
 
 Components come from alternating large-star and small-star steps on the written edges; nothing of it is
 collected on the driver.
 
 Defined cases: a document without words, or null, has an empty set and is linked with nothing; fewer words
-than a shingle make one shingle of all of them; repeated rows with one id are one class; a null id is never a
-component's smallest id, and documents without an id are linked by equal sets only.
+than a shingle make one shingle of all of them. Rows are told apart by id and text (its 64-bit hash), so that several
+texts under one id, or under none, are documents of their own, each with its own links; equal rows share their
+result. A component's id is the smallest id of its rows; where it has none, it is null, and of such rows those with
+the least text hash are kept. An empty table gives no rows; other columns of the table are not looked at.
 """
 
 from __future__ import annotations
@@ -35,16 +38,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, prepare, read, utf8, written
+from .common import batch, discard, prepare, read, utf8, written
 
 BINS, BANDS, ROWS = 128, 25, 5
 #: Chance, at each batch, that a pair at the threshold or above is dropped.
 MISS = 1e-6
 BATCH = 32
-#: Under so many shingles a signature has too few own bins for the posterior; such pairs are verified at once.
-SMALL = 96
 #: Members of a block, and pairs of blocks that a worker gets at a time.
 BLOCK, BLOCK_ROWS = 128, 4
+#: Stands for a missing id where rows are looked up by id and text hash.
+NO_ID = (1 << 63) - 1
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -93,19 +96,22 @@ def shingle_set(text: bytes, size: int) -> np.ndarray:
 LOOK = np.random.default_rng(11).integers(0, BINS, (BINS, 512))
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """BINS values of 16 bits: of each bin (by the top bits) the least hash's middle bits."""
+def signature(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BINS values of 16 bits: of each bin (by the top bits) the least hash's middle bits, 0 for an empty bin; and
+    the same with empty bins filled."""
     edges = np.searchsorted(hashes, np.arange(BINS, dtype=np.uint64) << np.uint64(57))
     full = np.append(edges[1:], len(hashes)) > edges
     own = ((mixed(hashes[np.minimum(edges, len(hashes) - 1)]) >> np.uint64(20)) & np.uint64(0xFFFF)).astype(np.uint16)
+    own = np.where(full, np.maximum(own, 1), 0).astype(np.uint16)
+    filled = own.copy()
     if not full.all():
         empty = np.flatnonzero(~full)
         first = full[LOOK[empty]].argmax(axis=1)
         source = LOOK[empty, first]
         lost = ~full[source]
         source[lost] = np.flatnonzero(full)[0]
-        own[empty] = own[source]
-    return own
+        filled[empty] = own[source]
+    return own, filled
 
 
 def band_keys(sig: np.ndarray) -> list[int]:
@@ -113,11 +119,11 @@ def band_keys(sig: np.ndarray) -> list[int]:
     return [xxhash.xxh3_64_intdigest(p.tobytes(), seed=i) - (1 << 63) for i, p in enumerate(parts)]
 
 
-def least_matches(threshold: float, miss: float = MISS) -> dict[int, int]:
-    """After n compared bins, the matches below which a pair is dropped: the posterior Beta(1 + m, 1 + n - m)
+def least_matches(threshold: float, miss: float = MISS) -> np.ndarray:
+    """Of n compared bins (0 to BINS) the matches below which a pair is dropped: the posterior Beta(1 + m, 1 + n - m)
     then leaves less than ``miss`` at the threshold or above."""
-    out = {}
-    for n in range(BATCH, BINS + 1, BATCH):
+    out = np.zeros(BINS + 1, np.int64)
+    for n in range(BINS + 1):
         tail, m = 0.0, 0
         while m <= n:
             tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
@@ -132,27 +138,27 @@ SETS_SCHEMA = (T.StructField("n_shingles", T.LongType()), T.StructField("set_key
 
 
 def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """id, n_shingles, set_key (128-bit hash of the set; null if empty), sig and bands of every row."""
-    schema = T.StructType([T.StructField("id", df.schema[key].dataType), *SETS_SCHEMA])
+    """id, text_hash, n_shingles, set_key (128-bit hash of the set; null if empty), sig and bands of every row."""
+    schema = T.StructType([T.StructField("id", df.schema[key].dataType), T.StructField("text_hash", T.LongType()), *SETS_SCHEMA])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             out = []
-            for t in utf8(rows.column(1)):
+            for t in utf8(rows.column(2)):
                 s = shingle_set(t, size)
                 if len(s):
-                    sig = signature(s)
-                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(sig)))
+                    sig, filled = signature(s)
+                    out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), sig.tobytes(), band_keys(filled)))
                 else:
                     out.append((0, None, None, None))
-            yield batch(schema, [rows.column(0), *([r[i] for r in out] for i in range(4))])
+            yield batch(schema, [rows.column(0), rows.column(1), *([r[i] for r in out] for i in range(4))])
 
-    return df.select(key, text).mapInArrow(run, schema)
+    return df.select(key, F.xxhash64(text).alias("_text_hash"), text).mapInArrow(run, schema)
 
 
 def full_sets(df: DataFrame, text: str, size: int) -> DataFrame:
     """rep and its set, from rows of rep and text."""
-    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("rep", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -172,16 +178,19 @@ class Threshold:
         """The smaller set can hold enough of the larger one."""
         return (100 * np.minimum(a, b) >= self.percent * np.maximum(a, b)) if isinstance(a, np.ndarray) else (100 * min(a, b) >= self.percent * max(a, b))
 
-    def passes(self, x: np.ndarray, y: np.ndarray, small: np.ndarray) -> np.ndarray:
-        """Which pairs of signatures (rows of x and y) no batch refuses; ``small`` pairs always pass."""
+    def passes(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which pairs of signatures (rows of x and y) no batch refuses. Bins that are empty in both tell nothing."""
         alive = np.ones(len(x), bool)
-        matches = np.zeros(len(x), np.int64)
-        for n, least in self.least.items():
-            at = np.flatnonzero(alive & ~small)
+        matches, compared = np.zeros(len(x), np.int64), np.zeros(len(x), np.int64)
+        for n in range(0, BINS, BATCH):
+            at = np.flatnonzero(alive)
             if not len(at):
                 break
-            matches[at] += (x[at, n - BATCH : n] == y[at, n - BATCH : n]).sum(axis=1)
-            alive[at] = matches[at] >= least
+            p, q = x[at, n : n + BATCH], y[at, n : n + BATCH]
+            known = (p | q) != 0
+            compared[at] += known.sum(axis=1)
+            matches[at] += ((p == q) & known).sum(axis=1)
+            alive[at] = matches[at] >= self.least[compared[at]]
         return alive
 
 
@@ -190,23 +199,22 @@ def surviving(pairs: DataFrame, reps: DataFrame, threshold: Threshold) -> DataFr
     known = reps.select("rep", "n_shingles", "sig")
     wide = pairs.join(known.toDF("a", "n_a", "sig_a"), "a").join(known.toDF("b", "n_b", "sig_b"), "b")
     wide = wide.filter(100 * F.least("n_a", "n_b") >= threshold.percent * F.greatest("n_a", "n_b"))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             if rows.num_rows:
-                x, y = (np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint16).reshape(-1, BINS) for i in (3, 5))
-                small = np.minimum(rows.column(2).to_numpy(), rows.column(4).to_numpy()) < SMALL
-                keep = pa.array(threshold.passes(x, y, small))
+                x, y = (np.frombuffer(b"".join(rows.column(i).to_pylist()), np.uint16).reshape(-1, BINS) for i in (2, 3))
+                keep = pa.array(threshold.passes(x, y))
                 yield batch(schema, [rows.column(i).filter(keep) for i in (0, 1)])
 
-    return wide.select("a", "b", "n_a", "sig_a", "n_b", "sig_b").mapInArrow(run, schema)
+    return wide.select("a", "b", "sig_a", "sig_b").mapInArrow(run, schema)
 
 
 def linked(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     """The (a, b) pairs whose full sets reach the threshold."""
     wide = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -221,14 +229,15 @@ def linked(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame
     return wide.select("a", "b", "set_a", "set_b").mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(rep, component) for every vertex of the edges (a, b): the smallest vertex that it reaches. Each round is
-    a large-star and a small-star step on written edges, until a round changes nothing."""
+    a large-star and a small-star step on written edges, until a round changes nothing; the edges that a round replaced
+    are removed."""
 
     def star(e: DataFrame, large: bool) -> DataFrame:
         u = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         # written, so that the join deals both sides out anew and can split a hot centre
-        least = written(u.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
+        least = kept(u.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")), "least")
         joined = u.join(least, u["u"] == least["w"])
         if large:
             out = joined.filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -236,17 +245,23 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select(F.col("w").alias("u"), F.col("m").alias("v")))
         return out.filter(F.col("u") != F.col("v")).distinct()
 
+    tables: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        tables.append(written(df, name))
+        return tables[-1]
+
     e = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).filter("u <> v").distinct()
     state = None
-    for _ in range(most_rounds):
-        e = written(star(star(e, True), False), "stars")
+    while True:
+        e = kept(star(star(e, True), False), "stars")
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        for old in tables[:-1]:
+            discard(old)
+        del tables[:-1]
         if now == state:
-            break
+            return e.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
         state = now
-    else:
-        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-    return e.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
 
 
 def common_counts(xs: list[np.ndarray], ys: list[np.ndarray]) -> np.ndarray:
@@ -281,26 +296,28 @@ def block_links(members: DataFrame, threshold: Threshold) -> DataFrame:
     packed = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "n_shingles", "component", "sig", "shingles")).alias("rows"))
     left, right = packed.toDF("bucket", "block", "rows"), packed.toDF("bucket_2", "block_2", "rows_2")
     met = left.join(right, (F.col("bucket") == F.col("bucket_2")) & (F.col("block") <= F.col("block_2")))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
 
     def arrays(rows: pa.StructScalar) -> tuple:
         v = rows.values
         sets = [np.frombuffer(x, np.uint64) for x in v.field("shingles").to_pylist()]
-        return v.field("rep").to_numpy(), v.field("n_shingles").to_numpy(), v.field("component").to_numpy(), np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, BINS), sets
+        return v.field("rep").to_pylist(), v.field("n_shingles").to_numpy(), v.field("component").to_pylist(), np.frombuffer(b"".join(v.field("sig").to_pylist()), np.uint16).reshape(-1, BINS), sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for p, q in zip(rows.column(0), rows.column(1), strict=True):
                 (ra, na, ca, xa, sa), (rb, nb, cb, xb, sb) = arrays(p), arrays(q)
-                i, j = np.nonzero((ca[:, None] != cb[None, :]) & threshold.sizes_fit(na[:, None], nb[None, :]))
-                keep = threshold.passes(xa[i], xb[j], np.minimum(na[i], nb[j]) < SMALL)
+                number: dict[bytes, int] = {}
+                za, zb = (np.array([number.setdefault(c, len(number)) for c in side]) for side in (ca, cb))
+                i, j = np.nonzero((za[:, None] != zb[None, :]) & threshold.sizes_fit(na[:, None], nb[None, :]))
+                keep = threshold.passes(xa[i], xb[j])
                 i, j = i[keep], j[keep]
                 if not len(i):
                     continue
                 c = common_counts(sa, sb)[i, j].astype(np.int64)
                 true = 100 * c >= threshold.percent * (na[i] + nb[j] - c)
                 i, j = i[true], j[true]
-                found = {(a, cc): b for a, cc, b in zip(ra[i].tolist(), cb[j].tolist(), rb[j].tolist(), strict=True)}
+                found = {(ra[m], cb[n]): rb[n] for m, n in zip(i.tolist(), j.tolist(), strict=True)}
                 if found:
                     yield batch(schema, [[a for a, _ in found], list(found.values())])
 
@@ -308,50 +325,67 @@ def block_links(members: DataFrame, threshold: Threshold) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """id, n_shingles, component_id and kept of every row of ``df``. ``size``: words of a shingle; documents are
-    linked if 100 * common >= percent * union."""
+    """id, text_hash, n_shingles, component_id, kept and leads of every row of ``df``. ``size``: words of a shingle; documents
+    are linked if 100 * common >= percent * union. ``leads`` is true for the one (id, text) of each component that stands for it."""
     spark = df.sparkSession
     threshold = Threshold(percent)
     docs = written(signatures(df, key, text, size), "signatures")
-    classes = docs.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.min(F.col("id").cast("long")).alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
-    # a class under two ids' sets cannot be: equal ids with several texts stand for several classes, the least set first
-    reps = written(classes.filter(F.col("rep").isNotNull()), "classes")
+    # of a class, the row with the smallest id (none is the greatest), then the least text hash
+    lead = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "text_hash"))
+    classes = docs.filter(F.col("set_key").isNotNull()).groupBy(F.col("set_key").alias("rep")).agg(lead.alias("lead"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
+    reps = written(classes, "classes")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
     members = written(members.join(buckets, "bucket").select("bucket", "rep", "hub", "n_members"), "members")
+    done = [buckets, members]
 
     pairs = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     survivors = written(surviving(pairs, reps, threshold), "survivors")
-    # whoever may be verified at any stage stands in a bucket with others: their sets are made once
-    wanted = members.select("rep").distinct()
-    texts = df.select(F.col(key).cast("long").alias("rep"), F.col(text).alias("text")).join(wanted, "rep").dropDuplicates(["rep"])
+    # whoever may be verified at any stage stands in a bucket with others: their sets are made once, from the leading row's text
+    wanted = reps.join(members.select("rep").distinct(), "rep").select("rep", F.coalesce("lead.id", F.lit(NO_ID)).alias("row_id"), F.col("lead.text_hash").alias("row_hash"))
+    rows = df.select(F.coalesce(F.col(key).cast("long"), F.lit(NO_ID)).alias("row_id"), F.xxhash64(text).alias("row_hash"), F.col(text).alias("text"))
+    texts = rows.join(wanted, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash", "rep"])
     sets = written(full_sets(texts, "text", size), "sets")
     edges = written(linked(survivors, sets, threshold), "edges")
+    done += [survivors, sets, edges]
     found = components(edges)
 
     for stage in (2, 3):
         named = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_buckets = written(named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.struct("rep", "component")).alias("last")).filter("c1 <> c2"), f"mixed{stage}")
         still = written(named.filter("n_members > 2").join(mixed_buckets, "bucket").select("bucket", "rep", "component", "n_members", F.col("last.rep").alias("last"), F.col("last.component").alias("last_component")), f"open{stage}")
+        done += [mixed_buckets, still]
         if stage == 2:
             pairs = still.filter("component <> last_component").select(F.least("rep", "last").alias("a"), F.greatest("rep", "last").alias("b")).distinct()
-            more = linked(written(surviving(pairs, reps, threshold), "survivors"), sets, threshold)
+            more = written(surviving(pairs, reps, threshold), "survivors")
+            done.append(more)
+            more = linked(more, sets, threshold)
         else:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
             more = written(block_links(still.join(reps.select("rep", "n_shingles", "sig"), "rep").join(sets, "rep"), threshold).distinct(), "block-links")
             prepare(spark)
+            done.append(more)
         edges = written(edges.unionByName(more), "edges")
+        done.append(edges)
         found = components(edges)
 
-    named = written(reps.select("set_key", "rep").join(found, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "named")
-    out = docs.select("id", "n_shingles", "set_key").join(named, "set_key", "left")
-    component = F.coalesce("component", F.col("id").cast("long"))
-    return out.select("id", "n_shingles", component.alias("component_id"), F.col("id").cast("long").eqNullSafe(component).alias("kept"))
+    component = reps.select("rep", "lead").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    leads = component.groupBy("component").agg(F.min("lead").alias("first"))
+    named = written(component.join(leads, "component").select(F.col("rep").alias("set_key"), "first"), "named")
+    for table in done:
+        discard(table)
+    out = docs.select("id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
+    alone, own = F.col("set_key").isNull(), F.col("id").cast("long")
+    same_text = F.col("text_hash") == F.col("first.text_hash")
+    component_id = F.when(alone, own).otherwise(F.col("first.id"))
+    without_id = F.col("id").isNull() & (alone | (F.col("first.none") & same_text))
+    leading = alone | (own.eqNullSafe(F.col("first.id")) & same_text)
+    return out.select("id", "text_hash", "n_shingles", component_id.alias("component_id"), F.coalesce(own == component_id, without_id).alias("kept"), leading.alias("leads"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(read(spark, sf_dir, "documents"), size=3, percent=85)
-    return found.withColumnRenamed("id", "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
 
 
 OP9_SQL = r"""
