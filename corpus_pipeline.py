@@ -32,11 +32,20 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8), and one of equal rows."""
+    """One document of each group of near duplicates stays (five-word shingles, similarity 0.8), and one of equal rows.
+
+    Of a group the smallest id stays, rows without an id being the last and ties going to the least text hash. Null and
+    empty texts are groups of their own; several texts under one id, or under none, are several documents; an empty table
+    gives an empty one; columns of any name stay as they are.
+    """
     common.prepare(spark)
-    kept = near_duplicates(docs, size=5, percent=80).filter("kept").select(F.col("id").alias("_kept_id")).distinct()
-    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    row_hash, kept_id, kept_hash, kept_none = common.fresh(docs, "_row_hash", "_kept_id", "_kept_hash", "_kept_none")
+    found = near_duplicates(docs, size=5, percent=80).filter("leads")
+    kept = found.select(F.col("id").alias(kept_id), F.col("text_hash").alias(kept_hash), F.col("id").isNull().alias(kept_none)).distinct()
+    keyed = docs.withColumn(row_hash, F.xxhash64("text"))
+    # a missing id is looked up by the text alone
+    met = (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)) == F.coalesce(F.col(kept_id), F.lit(0))) & (F.col("doc_id").isNull() == F.col(kept_none)) & (F.col(row_hash) == F.col(kept_hash))
+    return keyed.join(kept, met, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
