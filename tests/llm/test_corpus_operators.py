@@ -122,9 +122,29 @@ def test_repeats_against_brute_force(spark):
     assert repeats.repeats(empty).count() == 0
 
 
+def test_repeats_of_repeated_and_missing_ids(spark):
+    rng = random.Random(16)
+    p, unique = sentence(rng, 60), [sentence(rng, 60) for _ in range(4)]
+    rows = [(1, p), (None, p + sentence(rng, 20)), (None, unique[0]), (5, unique[1]), (5, unique[2]), (6, unique[1] + "tail"), (None, unique[2]), (None, unique[3]), (None, unique[3]), (None, None), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.StringType())])
+    got = repeats.apply_marks(repeats.repeats(df), "doc_id", "text", schema, lambda k: k.hex())
+    # rows in order of id (missing ones last) and text hash; equal rows are one document
+    hashed = [((r["doc_id"] is None, r["doc_id"] or 0, r["h"]), r["doc_id"], r["text"]) for r in df.select("*", F.xxhash64("text").alias("h")).collect()]
+    distinct = sorted(set(hashed), key=lambda r: r[0])
+    want = {(i, t): (n, m, k) for (_, i, t), (_, n, m, k, _) in zip(distinct, cut([(i, t) for _, i, t in distinct]), strict=True)}
+    assert sorted(tuple(r)[1:4] for r in got.collect()) == sorted(want[i, t] for _, i, t in hashed)
+    assert want[None, unique[0]][1] == 0 and want[None, rows[1][1]][1] >= len(p)
+    cleaned = corpus_pipeline.suffix_dedup(spark, df.select("doc_id", "text", F.lit("en").alias("_marks"), F.lit("s").alias("_repeat_id"), F.length("text").cast("long").alias("n_chars")), SF)
+    assert cleaned.columns == ["doc_id", "text", "_marks", "_repeat_id", "n_chars"] and {r["_marks"] for r in cleaned.collect()} == {"en"}
+
+
 def test_marks_join():
-    m = repeats.marks(np.array([2, 1, 1, 1, 1]), np.array([0, 5, 0, 20, 6]), np.array([3, 9, 4, 30, 7]), np.array([0, 0, 0, 0, 1]))
-    assert repeats.joined_marks(m).tolist() == [(1, 0, 9, 0), (1, 20, 30, 0), (2, 0, 3, 0), (1, 6, 7, 1)]
+    columns = {"doc": [2, 1, 1, 1, 1], "sub": [0, 0, 0, 0, 0], "first": [0, 5, 0, 20, 6], "last": [3, 9, 4, 30, 7], "kind": [0, 0, 0, 0, 1]}
+    m = np.zeros(5, repeats.MARK)
+    for name, values in columns.items():
+        m[name] = values
+    assert repeats.joined_marks(m)[["doc", "first", "last", "kind"]].tolist() == [(1, 0, 9, 0), (1, 20, 30, 0), (2, 0, 3, 0), (1, 6, 7, 1)]
 
 
 # near duplicates

@@ -25,9 +25,10 @@ tasks' chunks of ``CHUNK`` bytes. Entries travel packed, by ranges of identifier
 Identifiers of strings have 128 bits (contexts: 64 bits beside the bucket's 64), so that equality of
 identifiers stands for equality of strings.
 
-Defined cases: null text is empty; texts under LENGTH bytes keep all; a null id counts as the largest;
-equal rows repeat the same document and get the same result; rows that share an id but not the text share
-their removed ranges, cut to each text.
+Defined cases: null text is empty; texts under LENGTH bytes keep all; a null id counts as the largest. Rows are told
+apart by id and, where an id is null or repeated, by the 64-bit hash of the text too (the lesser one stands earlier), so
+that several texts under one id are several documents; equal rows are one document and get the same result. An empty
+table gives no rows; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, discard, read, release, utf8, written
+from .common import batch, discard, fresh, read, release, utf8, written
 
 LENGTH, GRAM = 100, 16
 #: Identifiers within a string, and the offsets of those that make up its own.
@@ -61,15 +62,19 @@ PART_BITS, PART_BYTES = 10, 256 << 20
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 U32 = np.uint64(32)
 
-#: An entry: its bucket, context, document, first start, and starts beyond the first (OPEN: only says that the bucket is open).
-ENTRY = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("at", "<i4"), ("extra", "<i4")])
+#: An entry: its bucket, context, document (id, and text hash where the id does not tell), first start, and starts beyond the first
+#: (OPEN: only says that the bucket is open).
+ENTRY = np.dtype([("key", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("sub", "<i8"), ("at", "<i4"), ("extra", "<i4")])
 OPEN = -1
 #: A range of starts of a document: DUP repeats what stands earlier, UNSURE is to be refined.
-MARK = np.dtype([("doc", "<i8"), ("first", "<i4"), ("last", "<i4"), ("kind", "<i4")])
+MARK = np.dtype([("doc", "<i8"), ("sub", "<i8"), ("first", "<i4"), ("last", "<i4"), ("kind", "<i4")])
+#: What is kept of a mark beside its document.
+KEPT = np.dtype([("first", "<i4"), ("last", "<i4"), ("kind", "<i4")])
 DUP, UNSURE = 0, 1
 
 SENT, MARKED, TEXT = 0, 1, 2
-ROWS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("data", T.BinaryType())])
+ROWS = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("sub", T.LongType()), T.StructField("data", T.BinaryType())])
+Row = tuple[int, int, int, bytes]
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -110,19 +115,19 @@ def identifiers(g: np.ndarray, at: np.ndarray, offsets: tuple[int, ...] = OFFSET
     return a, b
 
 
-def pieces(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, int, int]]]]:
-    """Texts (id, offset, bytes) joined to some PIECE bytes: the joined bytes, and of each text its id, its
-    offset, its begin and its last start in the joined bytes. Longer texts come in overlapping parts."""
+def pieces(docs: Iterator[Row]) -> Iterator[tuple[np.ndarray, list[tuple[int, ...]]]]:
+    """Texts (id, hash, offset, bytes) joined to some PIECE bytes: the joined bytes, and of each text its id, its
+    offset, its begin and its last start in the joined bytes, and its hash. Longer texts come in overlapping parts."""
     held: list[bytes] = []
-    where: list[tuple[int, int, int, int]] = []
+    where: list[tuple[int, ...]] = []
     size = 0
-    for doc, offset, text in docs:
+    for doc, sub, offset, text in docs:
         for begin in range(0, max(1, len(text) - LENGTH + 1), PIECE):
             part = text[begin : begin + PIECE + LENGTH - 1]
             if len(part) < LENGTH:
                 continue
             held.append(part)
-            where.append((doc, offset + begin, size, size + len(part) - LENGTH))
+            where.append((doc, offset + begin, size, size + len(part) - LENGTH, sub))
             size += len(part)
             if size >= PIECE:
                 yield np.frombuffer(b"".join(held), np.uint8), where
@@ -131,7 +136,7 @@ def pieces(docs: Iterator[tuple[int, int, bytes]]) -> Iterator[tuple[np.ndarray,
         yield np.frombuffer(b"".join(held), np.uint8), where
 
 
-def starts_of(n: int, where: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def starts_of(n: int, where: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Which of n positions of joined texts start a string within one text; the texts as an array."""
     valid = np.zeros(n + 1, np.int8)
     w = np.array(where, np.int64)
@@ -149,11 +154,11 @@ def places(g: np.ndarray, least: np.ndarray) -> np.ndarray:
 def packed(w: np.ndarray, owner: np.ndarray, key: np.ndarray, context: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     out = np.empty(len(first), ENTRY)
     out["key"], out["more"] = key, context ^ context >> U32
-    out["doc"], out["at"], out["extra"] = w[owner, 0], w[owner, 1] + first - w[owner, 2], last - first
+    out["doc"], out["sub"], out["at"], out["extra"] = w[owner, 0], w[owner, 4], w[owner, 1] + first - w[owner, 2], last - first
     return out
 
 
-def entries_of(data: np.ndarray, where: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def entries_of(data: np.ndarray, where: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
     """Entries of joined texts, and which of them may repeat themselves."""
     g = grams(data)
     least = sliding(g, SPAN, True)
@@ -178,7 +183,7 @@ def entries_of(data: np.ndarray, where: list[tuple[int, int, int, int]]) -> tupl
     return packed(w, owner, v, context, first, last), (n_equal > 1) | (extra >= SPAN)
 
 
-def steps_of(data: np.ndarray, where: list[tuple[int, int, int, int]]) -> np.ndarray:
+def steps_of(data: np.ndarray, where: list[tuple[int, ...]]) -> np.ndarray:
     """Entries of the steps of joined texts. A string's place is the leftmost that holds its least identifier."""
     g = grams(data)
     least = sliding(g, SPAN, True)
@@ -202,15 +207,23 @@ def steps_of(data: np.ndarray, where: list[tuple[int, int, int, int]]) -> np.nda
     return packed(w, owner, key, context, first, last)
 
 
-def marks(doc: np.ndarray, first: np.ndarray, last: np.ndarray, kind: int | np.ndarray) -> np.ndarray:
-    out = np.empty(len(doc), MARK)
-    out["doc"], out["first"], out["last"], out["kind"] = doc, first, last, kind
+def marks(e: np.ndarray, kind: int) -> np.ndarray:
+    """Marks on the starts of entries."""
+    out = np.empty(len(e), MARK)
+    out["doc"], out["sub"], out["first"], out["last"], out["kind"] = e["doc"], e["sub"], e["at"], e["at"] + e["extra"], kind
+    return out
+
+
+def openings(e: np.ndarray) -> np.ndarray:
+    """Entries that only say that the buckets of ``e`` are open."""
+    out = np.zeros(len(e), ENTRY)
+    out["key"], out["extra"] = e["key"], OPEN
     return out
 
 
 def ordered(e: np.ndarray) -> np.ndarray:
     """By bucket, context, document and start, equal ones once."""
-    e = e[np.lexsort((e["at"], e["doc"], e["more"], e["key"]))]
+    e = e[np.lexsort((e["at"], e["sub"], e["doc"], e["more"], e["key"]))]
     return e[np.append(True, e[1:] != e[:-1])] if len(e) else e
 
 
@@ -227,11 +240,8 @@ def heads(*columns: np.ndarray) -> np.ndarray:
 def refine(e: np.ndarray, suspect: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Entries that remain (one for each bucket with a single context, OPEN ones for the rest), and marks."""
     if suspect is not None and suspect.any():
-        bad = e[suspect].copy()
-        opened = bad.copy()
-        opened["extra"], opened["doc"], opened["at"], opened["more"] = OPEN, 0, 0, 0
-        unsure = [marks(bad["doc"], bad["at"], bad["at"] + bad["extra"], UNSURE)]
-        e = np.concatenate([e[~suspect], opened])
+        unsure = [marks(e[suspect], UNSURE)]
+        e = np.concatenate([e[~suspect], openings(e[suspect])])
     else:
         unsure = []
     e = ordered(e)
@@ -248,26 +258,22 @@ def refine(e: np.ndarray, suspect: np.ndarray | None = None) -> tuple[np.ndarray
     repeated = e[real & ~context]
     open_leads = e[lead & several]
     kept = e[lead & ~several]
-    opened = e[bucket & several].copy()
-    opened["extra"], opened["doc"], opened["at"], opened["more"] = OPEN, 0, 0, 0
-    found = [*unsure, marks(repeated["doc"], repeated["at"], repeated["at"] + repeated["extra"], DUP), marks(open_leads["doc"], open_leads["at"], open_leads["at"] + open_leads["extra"], UNSURE)]
-    return np.concatenate([kept, opened]), np.concatenate(found)
+    return np.concatenate([kept, openings(e[bucket & several])]), np.concatenate([*unsure, marks(repeated, DUP), marks(open_leads, UNSURE)])
 
 
 def firsts(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts by their own identifiers: the first of each, and marks on the others."""
     e = ordered(e)
     lead = heads(e["key"], e["more"])
-    rest = e[~lead]
-    return e[lead], marks(rest["doc"], rest["at"], rest["at"], DUP)
+    return e[lead], marks(e[~lead], DUP)
 
 
 def joined_marks(m: np.ndarray) -> np.ndarray:
     """Marks of one kind that touch or overlap become one; sorted by document."""
     if not len(m):
         return m
-    m = m[np.lexsort((m["first"], m["doc"], m["kind"]))]
-    new = heads(m["kind"], m["doc"])
+    m = m[np.lexsort((m["first"], m["sub"], m["doc"], m["kind"]))]
+    new = heads(m["kind"], m["doc"], m["sub"])
     # ends grow within a document; a mark begins anew where it leaves a gap behind all before it
     number = np.cumsum(new) - 1
     shift = number.astype(np.int64) * (1 << 40)
@@ -284,28 +290,56 @@ def between(cut: np.ndarray, n: int) -> list[tuple[int, int]]:
     return list(itertools.pairwise([*cut.tolist(), n]))
 
 
-def mark_rows(m: np.ndarray) -> list[tuple[int, int, bytes]]:
+def mark_rows(m: np.ndarray) -> list[Row]:
     m = joined_marks(m)
-    m = m[np.argsort(m["doc"], kind="stable")]
-    cut = np.flatnonzero(heads(m["doc"]))
-    return [(MARKED, int(m["doc"][a]), m[a:b].tobytes()) for a, b in between(cut, len(m))]
+    m = m[np.lexsort((m["sub"], m["doc"]))]  # stable: of a document by kind
+    cut = np.flatnonzero(heads(m["doc"], m["sub"]))
+    kept = np.empty(len(m), KEPT)
+    for name in KEPT.names:
+        kept[name] = m[name]
+    return [(MARKED, int(m["doc"][a]), int(m["sub"][a]), kept[a:b].tobytes()) for a, b in between(cut, len(m))]
+
+
+def marks_of(found: list[bytes]) -> np.ndarray:
+    """Marks of one document, from their packed form."""
+    kept = np.frombuffer(b"".join(found), KEPT)
+    out = np.zeros(len(kept), MARK)
+    for name in KEPT.names:
+        out[name] = kept[name]
+    return out
 
 
-def sent_rows(e: np.ndarray, bits: int) -> list[tuple[int, int, bytes]]:
-    e = e[np.argsort(e["key"], kind="stable")]
-    part = (e["key"] >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(e), np.int64)
+def sent_rows(e: np.ndarray, bits: int) -> list[Row]:
+    """Entries packed by ranges of their mixed buckets (least identifiers crowd at the low end), field after field."""
+    mixed = (e["key"] ^ e["key"] >> U32) * C2
+    part = (mixed >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(e), np.int64)
+    order = np.argsort(part, kind="stable")
+    e, part = e[order], part[order]
     cut = np.flatnonzero(heads(part))
-    return [(SENT, int(part[a]), e[a:b].tobytes()) for a, b in between(cut, len(e))]
+    return [(SENT, int(part[a]), 0, b"".join([e[name][a:b].tobytes() for name in ENTRY.names])) for a, b in between(cut, len(e))]
+
+
+def entries_from(packed_ones: list[bytes]) -> np.ndarray:
+    out = np.empty(sum(map(len, packed_ones)) // ENTRY.itemsize, ENTRY)
+    begin = 0
+    for data in packed_ones:
+        n, at = len(data) // ENTRY.itemsize, 0
+        for name in ENTRY.names:
+            form = ENTRY[name]
+            out[name][begin : begin + n] = np.frombuffer(data, form, n, at)
+            at += n * form.itemsize
+        begin += n
+    return out
 
 
-def out_batches(rows: list[tuple[int, int, bytes]]) -> Iterator[pa.RecordBatch]:
+def out_batches(rows: list[Row]) -> Iterator[pa.RecordBatch]:
     for begin in range(0, len(rows), 4096):
         some = rows[begin : begin + 4096]
-        yield batch(ROWS, [[r[i] for r in some] for i in range(3)])
+        yield batch(ROWS, [[r[i] for r in some] for i in range(4)])
 
 
 def settle(docs: DataFrame, bits: int) -> DataFrame:
-    """First refinement within tasks: rows of id and text become sent entries and marks."""
+    """First refinement within tasks: rows of id, sub and text become sent entries and marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -316,7 +350,7 @@ def settle(docs: DataFrame, bits: int) -> DataFrame:
                 e, m = refine(*(np.concatenate(x) for x in zip(*held, strict=True)))
                 yield from out_batches(sent_rows(e, bits) + mark_rows(m))
 
-        texts = ((doc, 0, text) for rows in batches for doc, text in zip(rows.column(0).to_pylist(), utf8(rows.column(1)), strict=True))
+        texts = ((doc, sub, 0, text) for rows in batches for doc, sub, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), utf8(rows.column(2)), strict=True))
         for data, where in pieces(texts):
             held.append(entries_of(data, where))
             size += len(data)
@@ -325,11 +359,11 @@ def settle(docs: DataFrame, bits: int) -> DataFrame:
                 held, size = [], 0
         yield from flush()
 
-    return docs.select("id", "text").mapInArrow(run, ROWS)
+    return docs.select("id", "sub", "text").mapInArrow(run, ROWS)
 
 
 def unsure_ranges(found: list[bytes]) -> np.ndarray:
-    m = np.frombuffer(b"".join(found), MARK)
+    m = marks_of(found)
     return joined_marks(m[m["kind"] == UNSURE])
 
 
@@ -342,7 +376,7 @@ def settle_steps(docs: DataFrame, bits: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        texts: list[tuple[int, int, bytes]] = []
+        texts: list[Row] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -350,15 +384,15 @@ def settle_steps(docs: DataFrame, bits: int) -> DataFrame:
                 e, m = refine(np.concatenate(held))
                 yield from out_batches(sent_rows(e, bits) + mark_rows(m) + texts)
 
-        def ranges() -> Iterator[tuple[int, int, bytes]]:
+        def ranges() -> Iterator[Row]:
             for rows in batches:
-                for doc, text, found in zip(rows.column(0).to_pylist(), utf8(rows.column(1)), rows.column(2).to_pylist(), strict=True):
+                for doc, sub, text, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), utf8(rows.column(2)), rows.column(3).to_pylist(), strict=True):
                     m = unsure_ranges(found)
                     parts = [(a, text[a : b + LENGTH]) for a, b in zip(m["first"].tolist(), m["last"].tolist(), strict=True)]
                     if parts:
                         head = np.array([(a, len(t)) for a, t in parts], RANGE)
-                        texts.append((TEXT, doc, len(parts).to_bytes(4, "little") + head.tobytes() + b"".join([t for _, t in parts])))
-                    yield from ((doc, a, t) for a, t in parts)
+                        texts.append((TEXT, doc, sub, len(parts).to_bytes(4, "little") + head.tobytes() + b"".join([t for _, t in parts])))
+                    yield from ((doc, sub, a, t) for a, t in parts)
 
         for data, where in pieces(ranges()):
             held.append(steps_of(data, where))
@@ -368,7 +402,7 @@ def settle_steps(docs: DataFrame, bits: int) -> DataFrame:
                 held, texts[:], size = [], [], 0
         yield from flush()
 
-    return docs.select("id", "text", "marks").mapInArrow(run, ROWS)
+    return docs.select("id", "sub", "text", "marks").mapInArrow(run, ROWS)
 
 
 def settle_starts(docs: DataFrame, bits: int) -> DataFrame:
@@ -384,9 +418,9 @@ def settle_starts(docs: DataFrame, bits: int) -> DataFrame:
                 e, m = firsts(np.concatenate(held))
                 yield from out_batches(sent_rows(e, bits) + mark_rows(m))
 
-        def ranges() -> Iterator[tuple[int, int, bytes]]:
+        def ranges() -> Iterator[Row]:
             for rows in batches:
-                for doc, kept, found in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), rows.column(2).to_pylist(), strict=True):
+                for doc, sub, kept, found in zip(*(rows.column(i).to_pylist() for i in range(4)), strict=True):
                     known: list[tuple[int, bytes]] = []
                     for data in kept:
                         n = int.from_bytes(data[:4], "little")
@@ -402,7 +436,7 @@ def settle_starts(docs: DataFrame, bits: int) -> DataFrame:
                             end = min(b, first + len(text) - LENGTH)
                             if end < a:
                                 break
-                            yield doc, a, text[a - first : end - first + LENGTH]
+                            yield doc, sub, a, text[a - first : end - first + LENGTH]
                             a = end + 1
 
         for data, where in pieces(ranges()):
@@ -412,7 +446,7 @@ def settle_starts(docs: DataFrame, bits: int) -> DataFrame:
             owner = np.searchsorted(w[:, 2], s, side="right") - 1
             e = np.empty(len(s), ENTRY)
             e["key"], e["more"] = identifiers(g, s)
-            e["doc"], e["at"], e["extra"] = w[owner, 0], w[owner, 1] + s - w[owner, 2], 0
+            e["doc"], e["sub"], e["at"], e["extra"] = w[owner, 0], w[owner, 4], w[owner, 1] + s - w[owner, 2], 0
             held.append(e)
             size += len(data)
             if size >= CHUNK // 2:
@@ -420,7 +454,7 @@ def settle_starts(docs: DataFrame, bits: int) -> DataFrame:
                 held, size = [], 0
         yield from flush()
 
-    return docs.select("id", "texts", "marks").mapInArrow(run, ROWS)
+    return docs.select("id", "sub", "texts", "marks").mapInArrow(run, ROWS)
 
 
 def resolve(table: DataFrame, starts: bool, partitions: int) -> DataFrame:
@@ -432,24 +466,24 @@ def resolve(table: DataFrame, starts: bool, partitions: int) -> DataFrame:
             for part, data in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
                 parts.setdefault(part, []).append(data)
         while parts:  # marks are packed within a part, so that their rows are as many however the parts are dealt out
-            e = np.frombuffer(b"".join(parts.popitem()[1]), ENTRY)
+            e = entries_from(parts.popitem()[1])
             yield from out_batches(mark_rows((firsts(e) if starts else refine(e))[1]))
 
     return table.filter(F.col("kind") == SENT).select("key", "data").repartition(partitions, "key").mapInArrow(run, ROWS)
 
 
 def by_document(*tables: DataFrame) -> DataFrame:
-    """id and the list of its packed marks."""
+    """id, sub and the list of the document's packed marks."""
     union = None
     for t in tables:
-        t = t.filter(F.col("kind") == MARKED).select(F.col("key").alias("id"), "data")
+        t = t.filter(F.col("kind") == MARKED).select(F.col("key").alias("id"), "sub", "data")
         union = t if union is None else union.unionByName(t)
-    return union.groupBy("id").agg(F.collect_list("data").alias("marks"))
+    return union.groupBy("id", "sub").agg(F.collect_list("data").alias("marks"))
 
 
 def removed(found: list[bytes], n: int) -> list[tuple[int, int]]:
     """Removed byte ranges [begin, end) of a text of n bytes, from its marks."""
-    m = np.frombuffer(b"".join(found), MARK)
+    m = marks_of(found)
     m = m[(m["kind"] == DUP) & (m["first"] <= n - LENGTH)].copy()
     m["last"] = np.minimum(m["last"], n - LENGTH) + LENGTH - 1
     m = joined_marks(m)
@@ -461,10 +495,24 @@ def unsure(column: str) -> F.Column:
     return F.exists(column, lambda m: m.substr(F.octet_length(m) - 3, F.lit(1)) == F.lit(bytes([UNSURE])))
 
 
-def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, text and marks (a list of packed marks, null for none) of every row of ``df``."""
+def identified(df: DataFrame, key: str, text: str, id_name: str, sub_name: str) -> DataFrame:
+    """``df`` with the two columns that tell its rows apart: the id (NO_ID for none), and the text's hash where several rows
+    have the id. The table of such ids is small as a rule; where it is not, or one id is hot, the join is dealt out and
+    split by the engine."""
+    spark = df.sparkSession
+    keyed = df.withColumn(id_name, F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
+    many = written(keyed.groupBy(F.col(id_name).alias("_many")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_many"), "repeated-ids")
+    ambiguous = F.col("_many").isNotNull()
+    return keyed.join(many, F.col(id_name) == F.col("_many"), "left").withColumn(sub_name, F.when(ambiguous, F.xxhash64(text)).otherwise(F.lit(0).cast("long"))).drop("_many")
+
+
+def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", marks_name: str = "_marks") -> DataFrame:
+    """The rows of ``df`` with a column of their marks (a list of packed marks, null for none)."""
     spark = df.sparkSession
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)).alias("id"), F.col(text).alias("text"))
+    id_name, sub_name = fresh(df, "_repeat_id", "_repeat_sub")
+    keyed = identified(df, key, text, id_name, sub_name)
+    docs = keyed.select(F.col(id_name).alias("id"), F.col(sub_name).alias("sub"), F.col(text).alias("text"))
+    document = ["id", "sub"]
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (256 << 20)))
     bits = max(PART_BITS, (total // PART_BYTES).bit_length())
@@ -472,19 +520,21 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     first = written(by_document(table, resolve(table, False, partitions)), "repeat-marks")
     discard(table)
     release(spark)
-    steps = written(settle_steps(docs.join(first.filter(unsure("marks")), "id"), bits), "repeat-steps")
+    steps = written(settle_steps(docs.join(first.filter(unsure("marks")), document), bits), "repeat-steps")
     second = written(by_document(steps, resolve(steps, False, partitions)), "repeat-marks")
     release(spark)
-    texts = steps.filter(F.col("kind") == TEXT).groupBy(F.col("key").alias("id")).agg(F.collect_list("data").alias("texts"))
-    table = written(settle_starts(texts.join(second.filter(unsure("marks")), "id"), bits), "repeat-starts")
+    texts = steps.filter(F.col("kind") == TEXT).groupBy(F.col("key").alias("id"), "sub").agg(F.collect_list("data").alias("texts"))
+    table = written(settle_starts(texts.join(second.filter(unsure("marks")), document), bits), "repeat-starts")
     third = written(by_document(table, resolve(table, True, partitions)), "repeat-marks")
     discard(table)
     discard(steps)
     release(spark)
-    found = first.unionByName(second).unionByName(third).groupBy("id").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    found = first.unionByName(second).unionByName(third).groupBy(document).agg(F.flatten(F.collect_list("marks")).alias("marks"))
     found = written(found, "repeat-marks")
-    keyed = df.withColumn("_repeat_id", F.coalesce(F.col(key).cast("long"), F.lit(LAST_ID)))
-    return keyed.join(found.select(F.col("id").alias("_repeat_id"), F.col("marks").alias("_marks")), "_repeat_id", "left").drop("_repeat_id")
+    for old in (first, second, third):
+        discard(old)
+    named = found.select(F.col("id").alias(id_name), F.col("sub").alias(sub_name), F.col("marks").alias(marks_name))
+    return keyed.join(named, [id_name, sub_name], "left").select(*df.columns, marks_name)
 
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
@@ -504,7 +554,8 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", n_ch
             yield batch(schema, columns)
 
     df_columns, schema = df.columns, df.schema
-    return repeats(df, key, text).select(*df_columns, "_marks").mapInArrow(run, schema)
+    (marks_name,) = fresh(df, "_marks")
+    return repeats(df, key, text, marks_name).mapInArrow(run, schema)
 
 
 def cut_out(text: bytes, ranges: list[tuple[int, int]]) -> bytes:
