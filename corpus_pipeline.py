@@ -49,7 +49,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 100 bytes or more that stand earlier are cut from the texts."""
+    """Passages of 100 bytes or more that stand earlier are cut from the texts.
+
+    Null and short texts stay as they are; earlier are smaller ids, missing ones last, then lesser text hashes; several texts
+    under one id are several documents and equal rows are one; an empty table gives an empty one; columns of any name stay.
+    """
     common.prepare(spark)
     return without_repeats(docs)
 
