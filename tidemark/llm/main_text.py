@@ -3,15 +3,21 @@
 Pass one looks at a block alone: its link density, its length and the density of stop words make it
 good or bad, or leave it undecided ("short" or "near"). Pass two gives an undecided block the label of
 its nearest decided neighbours; if the two sides differ, the nearer one decides, and at equal distance
-a "near" block is good and a "short" one bad. The container counts as context: what stands in a menu,
-page header, footer, sidebar, notice, advert, form or comment list is bad from the start and is nobody's
-neighbour. An article or main element is a prior only: it makes pass one milder by a class within it, its edges
-count as good neighbours within and as bad ones outside, and it moves the balance between two different neighbours
-by one block. What pass one calls good stays good outside too, and an article with less text than that is no prior.
-
-Defined cases: null or empty html gives the empty text; unclosed tags end with their container; a page
-without any container is judged by the block rules alone; a page whose blocks all stay undecided
-keeps them.
+a "near" block is good and a "short" one bad. The container is context only:
+
+* what stands in a menu, page header, footer, sidebar, advert, control or comment list is bad from the start and is
+  nobody's neighbour. An element is one by its tag, or by a class, id or role that says nothing else ("comment-list",
+  "ad-slot-3", not "social-history");
+* a form, or an element one of whose names only mentions such a thing, is one unless pass one calls the greater part of
+  its text good and that is ``PROSE`` characters or more: forms around a whole page, articles about adverts;
+* an article or main element is a prior: it makes pass one milder by a class within it, its edges count as good neighbours
+  within and as bad ones outside, and it moves the balance between two different neighbours by one block. What pass one
+  calls good stays good outside too, and an article with less text than that is no prior.
+
+Defined cases: null or empty html gives the empty text; unclosed tags end with their container, an unclosed head with
+the first element or text of the body; a page without any container is judged by the block rules alone; a page whose
+blocks all stay undecided keeps them. Rows are judged one by one, so that repeated ones, ties and an empty table need no
+rule; only the html column and the caller's keys are read.
 """
 
 from __future__ import annotations
@@ -30,6 +36,8 @@ from .common import batch, read
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.15, 0.25
 LINK_HIGH = 0.33
+#: Characters of good text that make a form or a named element content.
+PROSE = 400
 
 #: Frequent function words.
 STOP_WORDS = {
@@ -43,20 +51,23 @@ ALL_STOP_WORDS = frozenset(w for words in STOP_WORDS.values() for w in words.spl
 #: Elements that begin and end a block.
 BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 #: Elements whose text is never shown as text.
-UNSEEN = frozenset("script style noscript template head title svg math iframe object canvas audio video".split())
+UNSEEN = frozenset("script style noscript template title svg math iframe object canvas audio video".split())
 #: Elements that hold controls, menus and what surrounds an article.
-AROUND = frozenset("nav footer aside form menu dialog button select textarea label fieldset header".split())
+AROUND = frozenset("nav footer aside menu dialog button select textarea label fieldset header".split())
+#: Elements that do not end an open head.
+HEADS = frozenset("head title base link meta script style noscript template".split())
 ARTICLE = frozenset(("article", "main"))
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: A block element that closes an open paragraph.
 ENDS_P = BLOCKS - {"body", "html", "head", "title"}
 
-#: Words in a class, id or role that mark what surrounds an article.
-AROUND_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor(?:ed|s)?|promo(?:tion|s)?|banner|nav|navbar|navigation|menu|menus|breadcrumbs?|sidebar|side-bar|footer|masthead|site-?header|page-?header|header|topbar|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|comments?|commentlist|respond|replies|disqus|pagination|pager|toolbar|complementary|contentinfo|search|skip|copyright|legal|disclaimer)(?:$|[\s_-])",
-    re.IGNORECASE,
+#: Words in a class, id or role that mark what surrounds an article, and words that say nothing beside them.
+AROUND_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion promotions banner nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidenav footer masthead header topbar cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe signup login share sharing social related recommend recommended recommendation recommendations widget comment comments commentlist respond replies disqus pagination pager toolbar complementary contentinfo search searchbox skip copyright legal disclaimer".split()
 )
+PLAIN_NAMES = frozenset("site page top bottom left right main global primary secondary post posts article articles story stories entry item items list box block slot unit area section content contents wrap wrapper container inner outer row col column bar panel link links icon icons button buttons btn text title heading form side body group policy message msg us up in to the and by of more js bg mobile desktop fixed sticky hidden small large wide full".split())
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: Of these an article element itself can be one, as comments and teasers often are.
 AROUND_ARTICLES = frozenset("ad ads advert advertisement sponsored promo comment comments reply replies related teaser widget".split())
 #: A name that begins so tells what an element has or lacks, not what it is.
@@ -67,12 +78,12 @@ TOKEN = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("parts", "linked", "heading", "article", "around", "label")
+    __slots__ = ("parts", "linked", "heading", "article", "around", "suspects", "label")
 
-    def __init__(self, heading: bool, article: bool, around: bool) -> None:
+    def __init__(self, heading: bool, article: bool, around: bool, suspects: tuple[int, ...]) -> None:
         self.parts: list[str] = []
         self.linked = 0
-        self.heading, self.article, self.around = heading, article, around
+        self.heading, self.article, self.around, self.suspects = heading, article, around, suspects
         self.label = ""
 
     @property
@@ -86,10 +97,22 @@ class Blocks(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.found: list[Block] = []
-        self.open: list[tuple[str, str]] = []  # element, and what it opens: unseen, around, article or nothing
-        self.depth = {"unseen": 0, "around": 0, "article": 0, "a": 0, "heading": 0}
+        self.open: list[tuple[str, str]] = []  # element, and what it opens: unseen, around, suspect, article or nothing
+        self.depth = {"unseen": 0, "around": 0, "suspect": 0, "article": 0, "a": 0, "heading": 0}
+        self.suspects: list[int] = []
+        self.n_suspects = 0
+        self.in_head = False
         self.block: Block | None = None
 
+    def named(self, name: str) -> str:
+        """What a class, id or role makes of its element."""
+        parts = [x.lower() for x in NAME_PART.findall(name)]
+        if not parts or parts[0] in ABOUT or not AROUND_NAMES.intersection(parts):
+            return ""
+        if self.depth["article"] and parts[-1] == "header":
+            return ""
+        return "around" if all(x in AROUND_NAMES or x in PLAIN_NAMES or x.isdigit() for x in parts) else "suspect"
+
     def enter(self, tag: str, attrs: list[tuple[str, str | None]]) -> str:
         if tag in UNSEEN:
             return "unseen"
@@ -101,15 +124,34 @@ class Blocks(HTMLParser):
         if tag in AROUND:
             return "around"
         names = [n for k in ("class", "id", "role") for n in named.get(k, "").split()]
-        names = [n for n in names if re.split("[_-]", n.lower(), maxsplit=1)[0] not in ABOUT]
         if tag in ARTICLE:
-            if any(AROUND_ARTICLES & {*re.split("[_-]", n.lower())} for n in names):
-                return "around"
-        elif tag not in ("body", "html") and any(AROUND_NAMES.search(n) for n in names if not (self.depth["article"] and n.lower().endswith("header"))):
-            return "around"
-        return "article" if tag in ARTICLE else "heading" if tag in HEADINGS else "a" if tag == "a" else ""
+            told = [{x.lower() for x in NAME_PART.findall(n)} for n in names if n.lower().split("-")[0].split("_")[0] not in ABOUT]
+            return "around" if any(AROUND_ARTICLES & parts for parts in told) else "article"
+        if tag not in ("body", "html"):
+            kinds = {self.named(n) for n in names} | ({"suspect"} if tag == "form" else set())
+            for kind in ("around", "suspect"):
+                if kind in kinds:
+                    return kind
+        return "heading" if tag in HEADINGS else "a" if tag == "a" else ""
+
+    def opened(self, kind: str) -> None:
+        self.depth[kind] += 1
+        if kind == "suspect":
+            self.suspects.append(self.n_suspects)
+            self.n_suspects += 1
+
+    def closed(self, kind: str) -> None:
+        self.depth[kind] -= 1
+        if kind == "suspect":
+            self.suspects.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.in_head and tag not in HEADS:
+            self.end("title", frozenset())  # also one that was never closed
+            self.end("head", frozenset())
+            self.in_head = False
+        if tag == "head":
+            self.in_head = True
         if tag == "br":
             self.handle_data("\n")
             return
@@ -124,7 +166,7 @@ class Blocks(HTMLParser):
         kind = self.enter(tag, attrs)
         self.open.append((tag, kind))
         if kind:
-            self.depth[kind] += 1
+            self.opened(kind)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -136,9 +178,9 @@ class Blocks(HTMLParser):
         for i in range(len(self.open) - 1, -1, -1):
             name = self.open[i][0]
             if name == tag:
-                for _, kind in self.open[i:]:
+                for _, kind in reversed(self.open[i:]):
                     if kind:
-                        self.depth[kind] -= 1
+                        self.closed(kind)
                 del self.open[i:]
                 return
             if name in until:
@@ -147,6 +189,8 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.block = None
+        if tag == "head":
+            self.in_head = False
         # an inline end tag does not reach out of its block
         self.end(tag, frozenset() if tag in BLOCKS else BLOCKS)
 
@@ -157,7 +201,7 @@ class Blocks(HTMLParser):
         if self.block is None:
             if not data.strip():
                 return
-            self.block = Block(depth["heading"] > 0, depth["article"] > 0, depth["around"] > 0)
+            self.block = Block(depth["heading"] > 0, depth["article"] > 0, depth["around"] > 0, tuple(self.suspects))
             self.found.append(self.block)
         self.block.parts.append(data)
         if depth["a"]:
@@ -222,12 +266,29 @@ def second_pass(blocks: list[Block]) -> None:
         b.label = label
 
 
+def settle_suspects(texts: list[tuple[Block, str]]) -> None:
+    """Forms and elements that a name makes suspect surround the content unless most of their text is good."""
+    size: dict[int, int] = {}
+    good: dict[int, int] = {}
+    for b, t in texts:
+        if b.suspects and not b.around:
+            # a name does not tell: the block must stand by its own text
+            fine = Block(b.heading, False, False, ())
+            fine.linked = b.linked
+            for k in b.suspects:
+                size[k] = size.get(k, 0) + len(t)
+                good[k] = good.get(k, 0) + (len(t) if first_pass(fine, t) == "good" else 0)
+    for b, _ in texts:
+        b.around = b.around or any(good[k] < PROSE or 2 * good[k] <= size[k] for k in b.suspects)
+
+
 def main_blocks(html: str) -> list[str]:
     """The texts of a page's good blocks, in page order."""
     parser = Blocks()
     parser.feed(html)
     parser.close()
     texts = [(b, t) for b in parser.found if (t := b.text)]
+    settle_suspects(texts)
     blocks = [b for b, _ in texts]
     for b, t in texts:
         b.label = first_pass(b, t)
