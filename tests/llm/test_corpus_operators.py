@@ -59,6 +59,33 @@ def test_mix_of_documents(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_of_repeated_and_missing_ids_and_sources(spark):
+    rng = random.Random(12)
+    rows = [(i if i % 3 else None, sentence(rng, rng.randrange(1, 40)) if i % 5 else "same words here", rng.choice(["a", "b", None, "é", "z"])) for i in range(400)] + [(1, None, "a"), (1, "", None)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.mix(df).toPandas()
+    assert len(got) == len(rows)
+    size: dict = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len((t or "").split())
+    names = sorted(size, key=lambda s: (s is None, (s or "").encode()))
+    want = dict(zip(names, mixing.targets([size[s] for s in names]), strict=True))
+    assert sorted({(n, round(t, 6)) for n, t in zip(got["source_size"], got["target"], strict=True)}) == sorted({(size[s], round(want[s], 6)) for s in names})
+    taken = got.groupby(["source_size", "target"])["taken"].sum()
+    assert len(taken) == len(names) and all(abs(x - t) <= 2 for (_, t), x in taken.items()) and (got["taken"] <= 2 * got["size"]).all()
+    clash = df.select("*", F.lit(1).alias("_mix_hash"), F.lit(2).alias("_MIX_COPY"))
+    assert mixing.mixed_rows(clash).columns == clash.columns and mixing.mixed_rows(clash).count() > 0
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(13)
+    sizes = [rng.choice((0, 1, 5, 40, 3000)) for _ in range(700)]
+    df = spark.createDataFrame([(i, " ".join(["w"] * min(n, 60)), f"s{i:04}") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    got = {r["id"]: r["target"] for r in mixing.mix(df).collect()}
+    want = mixing.targets([min(n, 60) for n in sizes])
+    assert all(got[i] == pytest.approx(want[i], abs=1e-9) for i in got) and len(got) == 700
+
+
 # nearest neighbours
 
 
@@ -82,6 +109,33 @@ def test_search_against_brute_force(spark):
     assert neighbours.search(df.limit(0)).count() == 0 and neighbours.search(df.filter("vec_id < 5")).count() == 4
 
 
+def test_search_prunes_clustered_vectors(spark):
+    rng = np.random.default_rng(14)
+    centres = rng.normal(size=(400, 16)) * 3
+    x = (centres[rng.integers(0, 400, 12000)] + rng.normal(size=(12000, 16)) * 0.3).astype(np.float32)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<float>").repartition(4)
+    got = neighbours.search(df, step=400).toPandas()
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        scores = x.astype(float) @ x[q].astype(float)
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores, kind="stable")[:20]) & set(g["vec_id"]))
+    share = neighbours.last_share()
+    print("recall", hits / 600, "share of entries visited", share)
+    assert hits >= 0.9 * 600 and share <= 0.3
+
+
+def test_search_of_repeated_ids(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(50, 4)).astype(np.float32).tolist()
+    rows = [(i, v) for i, v in enumerate(x)] + [(0, x[7]), (2, x[9]), (3, x[3])]
+    got = neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).toPandas()
+    assert got["query_id"].value_counts().to_dict() == {0: 40, 20: 20, 40: 20}
+    assert sorted(got[got["query_id"] == 0]["rank"]) == sorted([*range(1, 21)] * 2) and not (got["query_id"] == got["vec_id"]).any()
+    double = spark.createDataFrame([(20, [1e200, 1.0]), (40, [1.0, 2.0]), (41, [3.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [tuple(r) for r in neighbours.search(double).collect()] == [(40, 1, 41, 5.0)]
+
+
 def test_cells_come_by_falling_nearness():
     rng = np.random.default_rng(5)
     index = neighbours.MultiIndex(rng.normal(size=(6, 3)), rng.normal(size=(6, 3)))

@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import batch, read
 
-#: Runs without white space that a worker remembers, twice (the table that is full becomes the older one), and words.
-CACHE_CHUNKS = 200_000
+#: Runs without white space that a worker remembers, twice (the table that is full becomes the older one), and words; longer
+#: ones than so many characters are merged anew each time, so that the tables are bounded in bytes too.
+CACHE_CHUNKS, CACHED_CHARS = 200_000, 64
 
 #: Bits of a symbol's id within a pair, and of a symbol's place within a queue entry.
 SHIFT, PLACES = 20, 32
@@ -116,7 +117,9 @@ class WordBPE:
                 if found is None:
                     if len(self.known) >= CACHE_CHUNKS:
                         self.known.clear()
-                    found = self.known[word] = tuple(self.merge(word))
+                    found = tuple(self.merge(word))
+                    if len(word) <= CACHED_CHARS:
+                        self.known[word] = found
                 ids += found
         return " ".join(map(str, ids)), self.decode(ids)
 
@@ -132,7 +135,8 @@ class WordBPE:
                 found = older.get(c)
                 if found is None:
                     found = self.chunk(c)
-                recent[c] = found
+                if len(c) <= CACHED_CHARS:
+                    recent[c] = found
                 if len(recent) >= CACHE_CHUNKS:
                     older = self.older = recent
                     recent = self.recent = {}

@@ -27,10 +27,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where the cluster names
-    none (as in tests on one machine) a temporary folder is set once and kept in the session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. In local mode without one (as in tests) a
+    temporary folder is set once and kept in the session; elsewhere executors would not see it, so that it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tidemark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("tidemark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -170,18 +170,21 @@ class Scanner:
     def chain(self, matches: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int, str]], dict[str, float]]:
         """Chains of long matches, in order in text and template, and the share of each template they cover."""
         chains: dict[int, list[list]] = {}
+        within_reach: dict[int, list[list]] = {}  # chains that a match may still go on
         for after, size, state in matches:
             for t, last in self.sam.ends[state]:
                 if t >= len(self.sizes):
                     continue
                 begin, end = last + 1 - size, last + 1
-                for c in reversed(chains.setdefault(t, [])[-4:]):
-                    if after - size - c[1] <= MAX_GAP and 0 <= begin - c[2] + MAX_GAP and begin - c[2] <= MAX_GAP and end > c[2]:
+                near = within_reach[t] = [c for c in within_reach.get(t, ()) if after - size - c[1] <= MAX_GAP]
+                for c in reversed(near):
+                    if abs(begin - c[2]) <= MAX_GAP and end > c[2]:
                         c[3] += end - max(begin, c[2])
                         c[1], c[2] = after, end
                         break
                 else:
-                    chains[t].append([after - size, after, end, size])
+                    near.append([after - size, after, end, size])
+                    chains.setdefault(t, []).append(near[-1])
         spans, cover = [], {}
         for t, found in chains.items():
             share = max(c[3] for c in found) / self.sizes[t]

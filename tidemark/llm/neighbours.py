@@ -16,8 +16,9 @@ Nearness is the inner product; summed nearness of centroid pairs is the sum of b
 
 Defined cases: vectors that are null, zero, of another length than most, or hold a null or non-finite
 component take no part; ids that are null take no part; with fewer candidates than ``top`` all of them
-are returned; ties go to the smaller id; repeated ids with equal vectors count once. An empty table
-gives no rows.
+are returned; ties go to the smaller id; repeated ids with equal vectors count once. Of an id with several vectors each
+is a candidate, and each a query of its own with ranks of its own, never with its own id as a candidate. An empty table
+gives no rows; columns besides the key and the vector are not looked at.
 """
 
 from __future__ import annotations
@@ -37,11 +38,14 @@ from .common import batch, read, written
 
 TOP, QUERY_STEP = 20, 20
 #: Vectors that the codebooks are fitted on, and centroids for each half (fewer for few vectors).
-SAMPLE, CENTROIDS, ROUNDS = 8192, 64, 12
-CELL_ENTRIES = 256
-#: A query gathers at least FLOOR entries, and the least of SHARES of all distinct vectors that gives the
-#: recall RECALL to CALIBRATE queries on the sample, where the truth is computed by brute force.
-FLOOR, RECALL, CALIBRATE = 1000, 0.97, 100
+SAMPLE, CENTROIDS, ROUNDS = 16384, 512, 12
+#: Entries of a cell on average, which the number of centroids follows.
+CELL_ENTRIES = 64
+#: A query gathers the least of SHARES of all distinct vectors (top + 1 at least) that gives the recall RECALL
+#: to CALIBRATE queries on the sample, where the truth is computed by brute force.
+RECALL, CALIBRATE = 0.97, 100
+#: Components from here on count as non-finite, as their products would not be finite.
+MOST = 1e150
 SHARES = (0.005, 0.01, 0.02, 0.05, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)
 #: Entries of a group of cells, and queries of a part: what one task holds at a time.
 GROUP, QUERY_PART = 4096, 8192
@@ -63,6 +67,14 @@ def assign(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((c * c).sum(axis=1)[None, :] - 2 * (x @ c.T)).argmin(axis=1)
 
 
+#: The shares of entries that searches of this session were calibrated to.
+_SHARES: list[float] = []
+
+
+def last_share() -> float:
+    return _SHARES[-1]
+
+
 class MultiIndex:
     """Codebooks of both halves, and the number of entries in each cell."""
 
@@ -115,7 +127,7 @@ class MultiIndex:
 
 def usable(key: str, vector: str) -> F.Column:
     v = F.col(vector)
-    return F.col(key).isNotNull() & F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0), F.lit(False))
+    return F.col(key).isNotNull() & F.coalesce((F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < MOST)) & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
 def distinct_vectors(rows: DataFrame, top: int) -> DataFrame:
@@ -152,7 +164,8 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
     index = MultiIndex(kmeans(sample[:, :half], k), kmeans(sample[:, half:], k))
     n_second = len(index.second)
     share = next((s for s, r in index.recall(sample, sample[:CALIBRATE], top) if r >= target), 1.0)
-    enough = max(FLOOR, math.ceil(share * total))
+    _SHARES.append(share)
+    enough = max(top + 1, math.ceil(share * total))
 
     cell_schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("h", T.LongType()), T.StructField("vec", T.BinaryType()), entries.schema["ids"]])
 
@@ -173,7 +186,7 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
     parts = max(1, -(-n_queries // QUERY_PART))
     grouped = placed.join(F.broadcast(group_of), "cell").select("cell", "vec", "ids", (F.col("first_group") + F.pmod("h", F.col("last_group") - F.col("first_group") + 1)).alias("grp"))
 
-    ask_schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("part", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("cells", T.BinaryType())])
+    ask_schema = T.StructType([T.StructField("grp", T.LongType()), T.StructField("part", T.LongType()), T.StructField("query_id", T.LongType()), T.StructField("query_hash", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("cells", T.BinaryType())])
     sent = spark.sparkContext.broadcast((index, {c: (a, b) for c, a, b in spans}))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,25 +194,26 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
         for b in batches:
             out = []
             if b.num_rows:
-                for q, x in zip(b.column(0).to_pylist(), matrix(b.column(1), width), strict=True):
+                for q, q_hash, x in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), matrix(b.column(1), width), strict=True):
                     by: dict[int, list[int]] = {}
                     for c in own.visit(x, enough):
                         for g in range(groups[c][0], groups[c][1] + 1):
                             by.setdefault(g, []).append(c)
                     raw = x.astype(form).tobytes()
-                    out += [(g, (q // step) % parts, q, raw, np.array(cells, "<i4").tobytes()) for g, cells in by.items()]
+                    out += [(g, (q // step) % parts, q, q_hash, raw, np.array(cells, "<i4").tobytes()) for g, cells in by.items()]
             if out:
-                yield batch(ask_schema, [[r[i] for r in out] for i in range(5)])
+                yield batch(ask_schema, [[r[i] for r in out] for i in range(6)])
 
-    asked = rows.filter((F.pmod("vec_id", F.lit(step)) == 0) & (F.size("vector") == width)).select(F.col("vec_id").alias("query_id"), "vector").distinct()
+    asked = rows.filter((F.pmod("vec_id", F.lit(step)) == 0) & (F.size("vector") == width)).select(F.col("vec_id").alias("query_id"), "vector", F.xxhash64("vector").alias("query_hash")).distinct()
     asks = written(asked.mapInArrow(visit, ask_schema), "asks")
     wanted = asks.select(F.col("grp").alias("to_grp"), F.col("part").alias("to_part")).distinct()
 
     def rerank(asking: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, float]] = []
+        out: list[tuple[int, int, int, float]] = []
         if len(asking) and len(held):
             x, cell, ids = unpack(held["vec"], form, width), held["cell"].to_numpy(), held["ids"].tolist()
             names, at = np.unique(cell, return_inverse=True)
+            longest = float(np.sqrt((x * x).sum(axis=1).max()))
             for begin in range(0, len(asking), 256):
                 some = asking.iloc[begin : begin + 256]
                 y = unpack(some["vec"], form, width)
@@ -211,16 +225,18 @@ def search(df: DataFrame, key: str = "vec_id", vector: str = "embedding", top: i
                 # top + 1 entries hold the top ids besides the query's own; equal scores at the edge stay
                 edge = max(0, scores.shape[1] - top - 1)
                 least = np.partition(scores, edge, axis=1)[:, edge]
-                for i, n in enumerate(some["query_id"].tolist()):
-                    near = np.flatnonzero((scores[i] >= least[i] - 1e-9) & (scores[i] > -np.inf))
+                # more than what the order of summation can change
+                slack = 1e-12 * longest * np.sqrt((y * y).sum(axis=1))
+                for i, (n, h) in enumerate(zip(some["query_id"].tolist(), some["query_hash"].tolist(), strict=True)):
+                    near = np.flatnonzero((scores[i] >= least[i] - slack[i]) & (scores[i] > -np.inf))
                     exact = (x[near] * y[i]).sum(axis=1)
                     best = [(-s, v) for e, s in zip(near.tolist(), exact.tolist(), strict=True) for v in ids[e] if v != n]
-                    out += [(n, v, -s) for s, v in heapq.nsmallest(top, best)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+                    out += [(n, h, v, -s) for s, v in heapq.nsmallest(top, best)]
+        return pd.DataFrame(out, columns=["query_id", "query_hash", "vec_id", "score"])
 
     offered = grouped.join(wanted, F.col("grp") == F.col("to_grp")).select("to_grp", "to_part", "cell", "vec", "ids")
-    found = asks.groupBy("grp", "part").cogroup(offered.groupBy("to_grp", "to_part")).applyInPandas(rerank, "query_id long, vec_id long, score double")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = asks.groupBy("grp", "part").cogroup(offered.groupBy("to_grp", "to_part")).applyInPandas(rerank, "query_id long, query_hash long, vec_id long, score double")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
