@@ -59,13 +59,19 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources are mixed to their target weights; a document comes as often as the mix takes it."""
+    """Sources are mixed to their target weights; a document comes as often as the mix takes it.
+
+    Null and empty texts have size 0: they take no words, and come as often as their source's whole rate says. A null source is
+    one of its own; several texts under one id are several documents, rows equal in both get one number of copies; an
+    empty table gives an empty one; columns of any name stay as they are.
+    """
     common.prepare(spark)
     return mixed_rows(docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, one row for each row: null and empty texts have no tokens, repeated rows
+    repeat their result, an empty table gives none, and columns besides doc_id and text are dropped."""
     common.prepare(spark)
     return encode_decode(docs)
 
