@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.materialise import cut
 from ..plans.spec import PARAMS, Params
 
 
@@ -86,8 +87,9 @@ def stop_loss(pred: DataFrame, daily: DataFrame, params: Params = PARAMS) -> Dat
     return out.drop("_day", "_known", *(f"_c{j}" for j in range(1, params.hold_days + 1)))
 
 
-def summary(pred: DataFrame, daily: DataFrame, params: Params = PARAMS, costs_bps: int = 10) -> DataFrame:
-    """One row of metrics for each model."""
+def summary(pred: DataFrame, daily: DataFrame, params: Params = PARAMS, costs_bps: int = 10, models: tuple[str, ...] = (), interval: bool = True) -> DataFrame:
+    """One row of metrics for each model; those of ``models`` without a prediction have n_predictions 0 and nulls. Without
+    ``interval`` the bootstrap is left out."""
     r, year = F.col("signal_ret"), params.periods
     full = stop_loss(strategy_returns(pred), daily, params).withColumn("ret_tc", after_costs(costs_bps))
     active = F.col("signal") == 1
@@ -113,7 +115,14 @@ def summary(pred: DataFrame, daily: DataFrame, params: Params = PARAMS, costs_bp
     out = table.join(depth, "model")
     calmar = F.when(F.abs("max_drawdown") > 1e-6, F.col("ann_return_pct") / 100 / F.abs("max_drawdown"))
     out = out.withColumns({"calmar": calmar, "max_drawdown_pct": F.col("max_drawdown") * 100}).drop("max_drawdown")
-    return out.join(group_sharpe(full, params), "model", "left").join(bootstrap_sharpe(full, params), "model", "left")
+    out = out.join(group_sharpe(full, params), "model", "left")
+    if interval:
+        out = out.join(bootstrap_sharpe(full, params), "model", "left")
+    if models:
+        named = pred.sparkSession.createDataFrame([(m,) for m in models], "model string")
+        out = named.unionByName(out.select("model")).distinct().join(out, "model", "left")
+        out = out.withColumns({c: F.coalesce(c, F.lit(0).cast("long")) for c in ("n_predictions", "n_tickers")})
+    return out
 
 
 def group_sharpe(full: DataFrame, params: Params = PARAMS) -> DataFrame:
@@ -125,21 +134,33 @@ def group_sharpe(full: DataFrame, params: Params = PARAMS) -> DataFrame:
 
 def bootstrap_sharpe(full: DataFrame, params: Params = PARAMS, level: float = 0.95, seed: int = 42) -> DataFrame:
     """Percentile interval of the Sharpe ratio over ``bootstrap`` resamples; null under 20 returns. Every row draws its
-    number of copies in each resample from a Poisson distribution, so that a batch adds its part to all resamples at
-    once and nothing is collected; the draws are seeded by the row's key."""
+    number of copies in each resample from a Poisson distribution (in place of resamples of exactly n rows), so that a batch
+    adds its part to all resamples at once, as a product of two matrices, and nothing is collected. The draws are hashes of
+    the row's key and the resample. Returns are taken from their model's mean, so that the spread loses no digits."""
+    copies = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(20)])
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            resample = (np.arange(params.bootstrap, dtype=np.uint64) + np.uint64(1 + seed * params.bootstrap)) * np.uint64(0x9E3779B97F4A7C15)
         for pdf in batches:
-            for model, rows in pdf.groupby("model"):
+            for (model, centre), rows in pdf.groupby(["model", "centre"]):
                 parts = np.zeros((params.bootstrap, 3))
-                for key, x in zip(rows["key"], rows["r"], strict=True):
-                    w = np.random.default_rng([seed, key & (2**63 - 1)]).poisson(1.0, params.bootstrap)
-                    parts += np.outer(w, (1.0, x, x * x))
-                yield pd.DataFrame({"model": model, "b": range(params.bootstrap), "n": parts[:, 0], "s": parts[:, 1], "q": parts[:, 2]})
+                for begin in range(0, len(rows), 512):
+                    some = rows.iloc[begin : begin + 512]
+                    h = some["key"].to_numpy().astype(np.uint64)[:, None] ^ resample[None, :]
+                    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 1):
+                        h = (h ^ (h >> np.uint64(33))) * np.uint64(factor)
+                    w = np.searchsorted(copies, (h >> np.uint64(11)).astype(np.float64) / 2.0**53, side="right")
+                    x = some["r"].to_numpy() - centre
+                    parts += w.T.astype(np.float64) @ np.column_stack([np.ones(len(x)), x, x * x])
+                yield pd.DataFrame({"model": model, "centre": centre, "b": range(params.bootstrap), "n": parts[:, 0], "s": parts[:, 1], "q": parts[:, 2]})
 
     rows = full.filter(F.col("signal_ret").isNotNull()).select("model", F.xxhash64("ticker", "date").alias("key"), F.col("signal_ret").alias("r"))
-    sums = rows.mapInPandas(run, "model string, b int, n double, s double, q double").groupBy("model", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q")))
-    mean = F.try_divide("s", "n")
-    spread = F.sqrt(F.greatest(F.try_divide("q", "n") - mean * mean, F.lit(0.0)))
+    centred = rows.join(F.broadcast(rows.groupBy("model").agg(F.avg("r").alias("centre"))), "model")  # one row a model
+    sums = centred.mapInPandas(run, "model string, centre double, b int, n double, s double, q double").groupBy("model", "centre", "b").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q")))
+    shift = F.try_divide("s", "n")
+    mean = F.col("centre") + shift
+    spread = F.sqrt(F.greatest(F.try_divide("q", "n") - shift * shift, F.lit(0.0)))
     each = sums.withColumn("v", F.when(spread > 1e-12, F.try_divide(mean, spread) * math.sqrt(params.periods)).otherwise(0.0))
     edge = (1 - level) / 2
     out = each.groupBy("model").agg(F.percentile("v", edge).alias("sharpe_ci_lo"), F.percentile("v", 1 - edge).alias("sharpe_ci_hi"))
@@ -155,16 +176,34 @@ def cost_sensitivity(pred: DataFrame, params: Params = PARAMS) -> DataFrame:
     return wide.select("model", F.explode(pairs).alias("_p")).select("_p.bps", "model", "_p.sharpe")
 
 
+def lagged_pairs(df: DataFrame, most: int) -> DataFrame:
+    """model, lag, d and l: every value of ``df`` (model, ticker, date, d) with those up to ``most`` rows before it in the order
+    ticker, date. Pairs within a ticker come from a window over it; the first rows of a ticker meet the last rows of the
+    tickers before it by their place in the model, which needs the tickers' counts only."""
+    w = Window.partitionBy("model", "ticker")
+    lagged = [F.lag("d", k).over(w.orderBy("date")) for k in range(1, most + 1)]
+    rows = df.withColumns({"_at": F.row_number().over(w.orderBy("date")), "_n": F.count(F.lit(1)).over(w), "_lags": F.array(*lagged)})
+    counts = df.groupBy("model", "ticker").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("model").orderBy("ticker").rowsBetween(Window.unboundedPreceding, -1)
+    begins = counts.select("model", "ticker", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_begin"))
+    inside = rows.select("model", "d", F.posexplode("_lags").alias("lag", "l")).select("model", (F.col("lag") + 1).alias("lag"), "d", "l").filter(F.col("l").isNotNull())
+    edge = rows.filter((F.col("_at") <= most) | (F.col("_at") > F.col("_n") - most)).join(begins, ["model", "ticker"]).withColumn("_place", F.col("_begin") + F.col("_at"))
+    heads = edge.filter(F.col("_at") <= most).select("model", "d", "_at", "_place", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("lag")).filter(F.col("lag") >= F.col("_at"))
+    tails = edge.filter(F.col("_at") > F.col("_n") - most).select("model", F.col("_place").alias("_before"), F.col("d").alias("l"))
+    across = heads.withColumn("_before", F.col("_place") - F.col("lag")).join(tails, ["model", "_before"]).select("model", "lag", "d", "l")
+    return inside.unionByName(across)
+
+
 def dm_statistic(pred: DataFrame, baseline: str = "always_hold", params: Params = PARAMS) -> DataFrame:
     """Diebold-Mariano statistic of every model against the baseline on squared strategy returns, with lagged covariances
     (hold_days - 1 of them, in the order ticker, date): model, n, dm_stat (null under 20 rows)."""
     full = strategy_returns(pred).select("model", "ticker", "date", "signal_ret")
     base = full.filter(F.col("model") == baseline).select("ticker", "date", F.col("signal_ret").alias("_base"))
     both = full.filter(F.col("model") != baseline).join(base, ["ticker", "date"]).withColumn("d", F.pow("_base", F.lit(2)) - F.pow("signal_ret", F.lit(2)))
-    w = Window.partitionBy("model").orderBy("ticker", "date")
+    both = cut(both.select("model", "ticker", "date", "d"))
     lags = range(1, params.hold_days)
-    wide = both.withColumns({f"_l{k}": F.lag("d", k).over(w) for k in lags})
-    sums = wide.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("_m"), F.var_samp("d").alias("_v"), *(F.covar_samp("d", f"_l{k}").alias(f"_g{k}") for k in lags))
+    covariances = lagged_pairs(both, params.hold_days - 1).groupBy("model").agg(*(F.covar_samp(F.when(F.col("lag") == k, F.col("d")), F.when(F.col("lag") == k, F.col("l"))).alias(f"_g{k}") for k in lags))
+    sums = both.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.avg("d").alias("_m"), F.var_samp("d").alias("_v")).join(covariances, "model", "left")
     var = F.col("_v") / F.col("n")
     for k in lags:
         var = var + 2 * (1 - k / params.hold_days) * F.coalesce(f"_g{k}", F.lit(0.0)) / F.col("n")

@@ -70,6 +70,31 @@ def graph_scores(gold: DataFrame, spec: PanelSpec = PANEL, params: Params = PARA
     return pass_messages(cut(nodes(base, dates, spec, params)), cut(edges(base, dates, spec, params)), params.layers)
 
 
+def daily_graph(gold: DataFrame, spec: PanelSpec = PANEL, params: Params = PARAMS, features: tuple[str, ...] = NODE_FEATURES) -> DataFrame:
+    """date, src, dst and weight for every date with three entities or more that have all features: the root of the product of
+    both correlations with the benchmark, where it exceeds the threshold, in both directions. A date without such a pair
+    has a star of weight 0.1 around its first entity. A correlation is 1 at most, so that only entities above the square of
+    the threshold can have an edge and meet."""
+    cols = [c for c in features if c in gold.columns]
+    day = Window.partitionBy(spec.time)
+    rows = gold.dropna(subset=cols).select(F.col(spec.time).alias("date"), F.col(spec.entity).alias("id"), F.abs(F.coalesce("corr_spy_60", F.lit(0.0))).alias("_c"), F.count(F.lit(1)).over(day).alias("_n"), F.min(spec.entity).over(day).alias("_first")).filter("_n >= 3")
+    able = rows.filter(F.col("_c") > params.edge_threshold**2 * (1 - 1e-9))
+    a, b = able.select("date", F.col("id").alias("src"), F.col("_c").alias("_x")), able.select("date", F.col("id").alias("dst"), F.col("_c").alias("_y"))
+    pairs = a.join(b, "date").filter(F.col("src") < F.col("dst")).withColumn("weight", F.sqrt(F.col("_x") * F.col("_y"))).filter(F.col("weight") > params.edge_threshold).select("date", "src", "dst", "weight")
+    star = rows.filter(F.col("id") != F.col("_first")).join(pairs.select("date").distinct(), "date", "left_anti").select("date", F.col("_first").alias("src"), F.col("id").alias("dst"), F.lit(0.1).alias("weight"))
+    one = pairs.unionByName(star)
+    return one.unionByName(one.select("date", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def neighbour_means(gold: DataFrame, edge: DataFrame, spec: PanelSpec = PANEL, features: tuple[str, ...] = NODE_FEATURES) -> DataFrame:
+    """Every entity of a date with the mean of its neighbours' features (``nb_`` before their names): one layer of
+    neighbourhood aggregation, weights unused."""
+    cols = [c for c in features if c in gold.columns]
+    sent = gold.select(F.col(spec.time).alias("date"), F.col(spec.entity).alias("src"), *cols)
+    got = edge.join(sent, ["date", "src"]).groupBy("date", "dst").agg(*(F.avg(c).alias(f"nb_{c}") for c in cols))
+    return got.withColumnRenamed("date", spec.time).withColumnRenamed("dst", spec.entity)
+
+
 def with_graph_score(gold: DataFrame, scores: DataFrame, spec: PanelSpec = PANEL) -> DataFrame:
     """``gold`` with pregel_score, 0.5 where there is none."""
     named = scores.select(F.col("id").alias(spec.entity), F.col("refit_date").alias(spec.time), F.col("score").alias("_score"))

@@ -57,8 +57,13 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return xs.gold(silver(spark, sf_dir))
 
 
+def winsorised_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gold layer with its price impact winsorised, as the models read it."""
+    return xs.gold(ft.winsorise(silver(spark, sf_dir), "amihud"))
+
+
 def gold_with_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = cut(gold(spark, sf_dir))
+    g = cut(winsorised_gold(spark, sf_dir))
     return gr.with_graph_score(g, gr.graph_scores(g))
 
 
@@ -92,7 +97,7 @@ add(
 
 
 def dimension(s: SparkSession, d: str) -> DataFrame:
-    return pn.table(s, d, "nation").filter(F.col("n_nationkey") % 2 == 0).select(F.col("n_name").alias("ticker"), F.concat(F.lit("class_"), F.col("n_regionkey").cast("string")).alias("asset_class"))
+    return pn.table(s, d, "nation").select(F.col("n_name").alias("ticker"), F.concat(F.lit("class_"), F.col("n_regionkey").cast("string")).alias("asset_class"))
 
 
 def dimension_join(s: SparkSession, d: str) -> DataFrame:
@@ -101,7 +106,7 @@ def dimension_join(s: SparkSession, d: str) -> DataFrame:
     return with_instrument(pn.bars(s, d).select(*KEYS, "close"), dimension(s, d))
 
 
-add("instrument_dim_join", dimension_join, q.with_(q.PANEL) + "SELECT ticker, date, close, coalesce('class_' || n_regionkey, 'unknown') AS asset_class FROM panel LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 2 = 0) ON n_name = ticker")
+add("instrument_dim_join", dimension_join, q.with_(q.PANEL) + "SELECT ticker, date, close, coalesce('class_' || n_regionkey, 'unknown') AS asset_class FROM panel LEFT JOIN nation ON n_name = ticker")
 
 # one entity's own features
 feature("log_returns", {f"ret_{k}d": 9 for k in (1, 5, 21, 63, 252)})
@@ -144,6 +149,11 @@ add(
     lambda s, d: xs.forward_targets(pn.bars(s, d)).agg(F.round(F.avg("target_5d"), 9).alias("hold_rate"), F.count(F.lit(1)).alias("n_rows"), F.countDistinct("ticker").alias("n_tickers"), F.min("date").alias("first_date"), F.max("date").alias("last_date")),
     q.with_(*q.TO_GOLD) + "SELECT round(avg(target_5d), 9) AS hold_rate, count(*) AS n_rows, count(DISTINCT ticker) AS n_tickers, min(date) AS first_date, max(date) AS last_date FROM gold",
 )
+add(
+    "gold_winsorised",
+    lambda s, d: rounded(winsorised_gold(s, d), {"amihud": 12, "ret_5d_fwd": 9}),
+    q.with_(*q.TO_GOLD) + "SELECT ticker, date, round(CASE WHEN amihud > e THEN e ELSE amihud END, 12) AS amihud, round(ret_5d_fwd, 9) AS ret_5d_fwd FROM gold, (SELECT quantile_disc(amihud, 0.99) AS e FROM silver)",
+)
 add("gold_features", lambda s, d: rounded(gold(s, d), {"target_5d": None, "corr_spy_60": 6, "xs_mom_rank": 9, "skew_60": 6, "ret_z_60": 6, "drawdown": 9}), rounded_sql(q.TO_GOLD, "gold", {"target_5d": None, "corr_spy_60": 6, "xs_mom_rank": 9, "skew_60": 6, "ret_z_60": 6, "drawdown": 9}))
 
 # the graph
@@ -165,31 +175,53 @@ add("corr_edges", edge_query, q.with_(*q.TO_GRAPH) + "SELECT refit_date, src, ds
 add("message_passing", lambda s, d: rounded(gr.graph_scores(gold(s, d)), {"score": 6}, ["refit_date", "id"]), q.with_(*q.TO_GRAPH) + "SELECT refit_date, id, round(score, 6) AS score FROM h3")
 add("gold_with_graph_score", lambda s, d: rounded(gold_with_score(s, d), {"pregel_score": 6}), q.with_(*q.TO_GRAPH) + "SELECT ticker, date, round(coalesce(score, 0.5), 6) AS pregel_score FROM gold LEFT JOIN h3 ON id = ticker AND refit_date = date")
 
+_PLACES = ["date", "src", "dst"]
+add("daily_graph", lambda s, d: rounded(gr.daily_graph(cut(gold(s, d).select("ticker", "date", "corr_spy_60", *gr.NODE_FEATURES))), {"weight": 7}, _PLACES), q.with_(*q.TO_GOLD, q.DAILY) + "SELECT date, src, dst, round(weight, 7) AS weight FROM daily")
+
+
+def neighbour_query(s: SparkSession, d: str) -> DataFrame:
+    g = cut(gold(s, d).select("ticker", "date", "corr_spy_60", *gr.NODE_FEATURES))
+    return rounded(gr.neighbour_means(g, cut(gr.daily_graph(g))), {f"nb_{c}": 6 for c in gr.NODE_FEATURES})
+
+
+add("neighbour_means", neighbour_query, q.with_(*q.TO_GOLD, q.DAILY) + "SELECT date, dst AS ticker, " + ", ".join(f"round(avg({c}), 6) AS nb_{c}" for c in gr.NODE_FEATURES) + " FROM daily JOIN (SELECT ticker AS src, date, " + ", ".join(gr.NODE_FEATURES) + " FROM gold) USING (date, src) GROUP BY date, dst")
+add("trailing_dates", lambda s, d: wf.trailing_dates(xs.forward_targets(pn.bars(s, d))).select(*KEYS), q.with_(*q.TO_GOLD) + "SELECT ticker, date FROM gold WHERE date IN (SELECT DISTINCT date FROM gold ORDER BY date DESC LIMIT 252)")
+
 # walk-forward
 add("walk_forward_points", lambda s, d: wf.points(xs.forward_targets(pn.bars(s, d))).select(*KEYS, "t", "n_train"), q.with_(*q.TO_GOLD, q.POINTS) + "SELECT ticker, date, CAST(t AS INT) AS t, CAST(t - 5 AS INT) AS n_train FROM points")
 PRED = ["ticker", "date", "asset_class", "signal", "model"]
 add("always_hold_predictions", lambda s, d: rounded(wf.always_hold(xs.forward_targets(pn.bars(s, d))), {"p_hold": 9, "ret_5d_fwd": 9}, PRED), q.with_(*q.TO_PREDICTIONS) + "SELECT ticker, date, asset_class, signal, model, round(p_hold, 9) AS p_hold, round(ret_5d_fwd, 9) AS ret_5d_fwd FROM preds WHERE model = 'always_hold'")
-BAYES = ("ret_z_60", "vol_ratio", "vol_of_vol", "drawdown", "drawdown_speed", "skew_60", "kurt_60", "trend_strength", "bb_bandwidth")
+BAYES = wf.BAYES_FEATURES
 add(
     "prior_calibration",
-    lambda s, d: wf.calibration(gold(s, d), BAYES).select(F.round("sigma_sq", 9).alias("sigma_sq"), F.round("delta", 7).alias("delta")),
-    q.with_(*q.TO_GOLD) + ", c AS (SELECT least(greatest(var_pop(target_ret_5d), 1e-6), 1.0) AS s, (" + " + ".join(f"var_samp({c})" for c in BAYES) + f") / {len(BAYES)} AS v FROM gold) SELECT round(s, 9) AS sigma_sq, round(least(greatest(s / (v + 1e-8), 0.01), 10.0), 7) AS delta FROM c",
+    lambda s, d: wf.calibration(gold_with_score(s, d), BAYES).select(F.round("sigma_sq", 9).alias("sigma_sq"), F.round("delta", 7).alias("delta")),
+    q.with_(*q.TO_GRAPH, q.SCORED, q.PRIOR) + "SELECT round(sigma_sq, 9) AS sigma_sq, round(delta, 7) AS delta FROM prior",
 )
 
 
 def gram_query(s: SparkSession, d: str) -> DataFrame:
-    g = wf.gram_states(cut(gold(s, d).select("ticker", "date", "asset_class", "target_ret_5d", "ret_5d_fwd", *BAYES)), features=BAYES)
-    return g.select(*KEYS, F.col("n_seen").cast("long").alias("n_seen"), *(F.round(F.col("gram")[i], 6).alias(f"g{i}") for i in (0, 1, 9)), *(F.round(F.col("moment")[i], 6).alias(f"m{i}") for i in (0, 1, 8)))
+    g = wf.gram_states(cut(gold_with_score(s, d).select("ticker", "date", "asset_class", "target_ret_5d", "ret_5d_fwd", *BAYES)), features=BAYES)
+    return g.select(*KEYS, F.col("n_seen").cast("long").alias("n_seen"), *(F.round(F.col("gram")[i], 6).alias(f"g{n}") for n, i in _CELLS.items()), *(F.round(F.col("moment")[i], 6).alias(f"m{i}") for i in range(len(BAYES))))
+
+
+#: Cells of the upper triangle by name, row by row.
+_CELLS = {f"{i}_{j}": n for n, (i, j) in enumerate((i, j) for i in range(len(BAYES)) for j in range(i, len(BAYES)))}
 
 
 _X = [f"coalesce({c}, 0)" for c in BAYES]
 add(
     "bayes_gram",
     gram_query,
-    q.with_(*q.TO_GOLD, q.POINTS)
-    + f"SELECT p.ticker, p.date, count(*) AS n_seen, round(sum(x0 * x0), 6) AS g0, round(sum(x0 * x1), 6) AS g1, round(sum(x1 * x1), 6) AS g9, round(sum(x0 * y), 6) AS m0, round(sum(x1 * y), 6) AS m1, round(sum(x8 * y), 6) AS m8 FROM points p JOIN (SELECT ticker, t, {_X[0]} AS x0, {_X[1]} AS x1, {_X[8]} AS x8, target_ret_5d AS y FROM indexed WHERE t % 63 = 0) r ON r.ticker = p.ticker AND r.t < p.t - 5 GROUP BY ALL",
+    q.with_(*q.TO_GRAPH, q.SCORED, q.SCORED_POINTS)
+    + "SELECT p.ticker, p.date, count(*) AS n_seen, "
+    + ", ".join([*(f"round(sum(x{i} * x{j}), 6) AS g{i}_{j}" for i in range(len(BAYES)) for j in range(i, len(BAYES))), *(f"round(sum(x{i} * y), 6) AS m{i}" for i in range(len(BAYES)))])
+    + f" FROM points p JOIN (SELECT ticker, t, {', '.join(f'{x} AS x{i}' for i, x in enumerate(_X))}, target_ret_5d AS y FROM indexed WHERE t % 63 = 0) r ON r.ticker = p.ticker AND r.t < p.t - 5 GROUP BY ALL",
+)
+add(
+    "bayes_predictions",
+    lambda s, d: rounded(wf.bayes(gold_with_score(s, d)), {"p_hold": 6, "ret_5d_fwd": 9}, ["ticker", "date", "asset_class", "signal", "model"]),
+    q.with_(*q.TO_GRAPH, q.SCORED, q.SCORED_POINTS, q.PRIOR, q.POSTERIOR) + "SELECT ticker, date, asset_class, CAST(p >= 0.5 AS INT) AS signal, 'bayesian_peft' AS model, round(p, 6) AS p_hold, round(ret_5d_fwd, 9) AS ret_5d_fwd FROM posterior",
 )
-add("bayes_predictions", lambda s, d: wf.bayes(gold_with_score(s, d)))
 add("logit_predictions", lambda s, d: wf.logit(gold_with_score(s, d)))
 add("gbt_predictions", lambda s, d: wf.boosted(gold_with_score(s, d), trees=100))
 
@@ -197,9 +229,14 @@ add("gbt_predictions", lambda s, d: wf.boosted(gold_with_score(s, d), trees=100)
 R = "signal_ret"
 
 
-def percent(pred: DataFrame) -> DataFrame:
-    """Returns as hundredths: the panel's prices jump so far that products of plain returns overflow any rounding."""
-    return pred.withColumn("ret_5d_fwd", F.col("ret_5d_fwd") / 100)
+def in_logs(df: DataFrame, keys: list[str], digits: dict[str, int | None]) -> DataFrame:
+    """An equity curve as the sign and logarithm of its value, and the logarithm of one minus the drawdown: the panel's
+    prices jump so far that products of returns have no common scale to round them on."""
+    shown = df.withColumns({"equity_sign": F.signum("equity").cast("int"), "equity_log": F.when(F.col("equity") != 0, F.log(F.abs("equity"))), "depth_log": F.when(F.col("drawdown") < 1, F.log(1 - F.col("drawdown")))})
+    return rounded(shown, digits | {"equity_sign": None, "equity_log": 6, "depth_log": 6}, keys)
+
+
+LOGS_SQL = "CAST(sign(e) AS INT) AS equity_sign, CASE WHEN e <> 0 THEN round(ln(abs(e)), 6) END AS equity_log, CASE WHEN e / nullif(top, 0) < 2 THEN round(ln(2 - e / nullif(top, 0)), 6) END AS depth_log"
 
 
 add(
@@ -221,9 +258,9 @@ def ratio_query(s: SparkSession, d: str) -> DataFrame:
 
 add(
     "max_drawdown_equity",
-    lambda s, d: rounded(ev.equity(ev.strategy_returns(percent(predictions(s, d))), R), {"equity": 6, "drawdown": 9}, ["model", "date", "ticker"]),
+    lambda s, d: in_logs(ev.equity(ev.strategy_returns(predictions(s, d)), R), ["model", "date", "ticker"], {}),
     q.with_(*q.TO_PREDICTIONS)
-    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret / 100, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS top FROM eq) SELECT model, date, ticker, round(e, 6) AS equity, round(e / nullif(top, 0) - 1, 9) AS drawdown FROM dd",
+    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS top FROM eq) SELECT model, date, ticker, " + LOGS_SQL + " FROM dd",
 )
 add(
     "win_profit_factor",
@@ -263,20 +300,75 @@ add(
     lambda s, d: rounded(ev.dm_statistic(predictions(s, d)), {"n": None, "dm_stat": 6}, ["model"]),
     q.with_(*q.TO_PREDICTIONS) + f", b AS (SELECT m.model, m.ticker, m.date, a.signal_ret * a.signal_ret - m.signal_ret * m.signal_ret AS d FROM rets m JOIN rets a ON a.model = 'always_hold' AND a.ticker = m.ticker AND a.date = m.date WHERE m.model <> 'always_hold'), l AS (SELECT *, {_LAGS} FROM b WINDOW w AS (PARTITION BY model ORDER BY ticker, date)) SELECT model, count(*) AS n, CASE WHEN count(*) >= 20 THEN round(avg(d) / sqrt(greatest({_VAR}, 1e-12)), 6) END AS dm_stat FROM l GROUP BY model",
 )
-add("dm_tests", lambda s, d: ev.dm_tests(predictions(s, d)))
+# the two-sided p-value is one minus the normal density's integral over the statistic's range, by Simpson's rule
+add(
+    "dm_tests",
+    lambda s, d: rounded(ev.dm_tests(predictions(s, d)), {"dm_stat": 6, "p_value": 5, "result": None}, ["model"]),
+    "WITH st AS (" + SQL["dm_statistic"] + ")"
+    + ", pv AS (SELECT st.*, (SELECT greatest(0, 1 - 2 * sum(CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * exp(-(st.dm_stat * i / 4000.0) * (st.dm_stat * i / 4000.0) / 2)) * abs(st.dm_stat) / 4000 / 3 / sqrt(2 * pi())) FROM range(4001) r(i)) AS p FROM st)"
+    + " SELECT model, dm_stat, CASE WHEN dm_stat IS NOT NULL THEN round(p, 5) END AS p_value, CASE WHEN dm_stat IS NULL THEN 'insufficient data' WHEN dm_stat < 0 AND p < 0.05 THEN 'model_1_better' WHEN dm_stat > 0 AND p < 0.05 THEN 'model_2_better' ELSE 'no_significant_difference' END AS result FROM pv",
+)
 add("bootstrap_sharpe_ci", lambda s, d: ev.bootstrap_sharpe(ev.strategy_returns(predictions(s, d))))
-add("evaluation_summary", lambda s, d: summary_query(s, d))
+_METRICS = {
+    "ann_return_pct": "avg(signal_ret) * 400",
+    "sharpe": q.sharpe(R),
+    "sortino": "CASE WHEN count(CASE WHEN signal_ret < 0 THEN 1 END) >= 2 THEN avg(signal_ret) / stddev_samp(CASE WHEN signal_ret < 0 THEN signal_ret END) * 2 END",
+    "vol_ann_pct": "stddev_samp(signal_ret) * 200",
+    "win_rate_pct": "avg(CASE WHEN signal = 1 THEN CAST(signal_ret > 0 AS INT) END) * 100",
+    "profit_factor": "sum(CASE WHEN signal = 1 AND signal_ret > 0 THEN signal_ret END) / abs(sum(CASE WHEN signal = 1 AND signal_ret < 0 THEN signal_ret END))",
+    "avg_win_pct": "avg(CASE WHEN signal = 1 AND signal_ret > 0 THEN signal_ret END) * 100",
+    "avg_loss_pct": "avg(CASE WHEN signal = 1 AND signal_ret < 0 THEN signal_ret END) * 100",
+    "sharpe_10bps": q.sharpe("(signal_ret - turnover * 10 / 10000.0)"),
+    "ann_return_10bps": "avg(signal_ret - turnover * 10 / 10000.0) * 400",
+    "sharpe_stoploss": q.sharpe("sl_ret"),
+    "ann_return_sl_pct": "avg(sl_ret) * 400",
+    "turnover_per_yr": "avg(turnover) * 4",
+    "hold_rate_pct": "avg(signal) * 100",
+} | {c: q.sharpe(f"(CASE WHEN asset_class = '{g}' THEN signal_ret END)") for g, c in _G}
+SUMMARY = [*_METRICS, "calmar", "max_drawdown_pct"]
+#: Drawdowns of products of such returns have many digits before the point.
+SUMMARY_DIGITS = {c: 6 for c in SUMMARY} | {"max_drawdown_pct": 3}
+MODELS = ("always_hold", "sma_rule", "a_model_without_rows")
+STOPPED_SQL = f", r AS (SELECT p.*, CASE WHEN g.ticker IS NULL THEN 0.0 ELSE g.ret_1d END AS d FROM rets p LEFT JOIN (SELECT ticker, date, ret_1d FROM gold) g USING (ticker, date)), l AS (SELECT *, {_LEADS} FROM r WINDOW w AS (PARTITION BY model, ticker ORDER BY date)), sl AS (SELECT *, CASE WHEN signal = 1 THEN CASE {_CASE} ELSE coalesce(d1 + d2 + d3 + d4 + d5, 0.0) END ELSE 0.0 END AS sl_ret FROM l)"
+add(
+    "evaluation_summary",
+    lambda s, d: rounded(summary_query(s, d), {"n_predictions": None, "n_tickers": None} | SUMMARY_DIGITS, ["model"]),
+    q.with_(*q.TO_PREDICTIONS)
+    + STOPPED_SQL
+    + ", eq AS (SELECT model, date, ticker, product(1 + coalesce(signal_ret, 0)) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) AS e FROM rets), dd AS (SELECT model, e / max(e) OVER (PARTITION BY model ORDER BY date, ticker ROWS UNBOUNDED PRECEDING) - 1 AS d FROM eq), m AS (SELECT model, min(d) AS mdd FROM dd GROUP BY model)"
+    + ", t AS (SELECT model, count(*) AS n_predictions, count(DISTINCT ticker) AS n_tickers, "
+    + ", ".join(f"{sql} AS {c}" for c, sql in _METRICS.items())
+    + ", CASE WHEN abs(any_value(mdd)) > 1e-6 THEN avg(signal_ret) * 4 / abs(any_value(mdd)) END AS calmar, any_value(mdd) * 100 AS max_drawdown_pct FROM sl JOIN m USING (model) GROUP BY model)"
+    + " SELECT model, coalesce(n_predictions, 0) AS n_predictions, coalesce(n_tickers, 0) AS n_tickers, "
+    + ", ".join(f"round({c}, {n}) AS {c}" for c, n in SUMMARY_DIGITS.items())
+    + f" FROM (SELECT unnest({list(MODELS)}) AS model) LEFT JOIN t USING (model)",
+)
 
 
 def summary_query(s: SparkSession, d: str) -> DataFrame:
     g = cut(gold(s, d).select("ticker", "date", "asset_class", "ret_1d", "dist_sma_20", "target_5d", "ret_5d_fwd"))
-    return ev.summary(cut(wf.always_hold(g).unionByName(wf.rule_signal(g))), g.select("ticker", "date", "ret_1d"))
+    return ev.summary(cut(wf.always_hold(g).unionByName(wf.rule_signal(g))), g.select("ticker", "date", "ret_1d"), models=MODELS, interval=False)
+
+
+def fitted_models(s: SparkSession, d: str) -> DataFrame:
+    """Predictions of the Bayesian and the logistic model beside the baseline."""
+    g = cut(gold_with_score(s, d))
+    return cut(wf.always_hold(g).unionByName(wf.bayes(g)).unionByName(wf.logit(g)))
+
+
+add("model_evaluation", lambda s, d: ev.summary(fitted_models(s, d), xs.forward_targets(ft.returns(pn.bars(s, d))).select("ticker", "date", "ret_1d")))
+add("model_dm_tests", lambda s, d: ev.dm_tests(fitted_models(s, d)))
+add(
+    "stop_loss_comparison",
+    lambda s, d: rounded(ev.strategy_returns(stop_query(s, d)).groupBy("model").agg(ev.sharpe(F.col(R)).alias("sharpe"), ev.sharpe(F.col("sl_ret")).alias("sharpe_stoploss")), {"sharpe": 7, "sharpe_stoploss": 7}, ["model"]),
+    q.with_(*q.TO_PREDICTIONS) + STOPPED_SQL + f" SELECT model, round({q.sharpe(R)}, 7) AS sharpe, round({q.sharpe('sl_ret')}, 7) AS sharpe_stoploss FROM sl GROUP BY model",
+)
 
 
 add(
     "portfolio_equity",
-    lambda s, d: rounded(ev.portfolio(percent(predictions(s, d))), {"ret": 9, "equity": 6, "drawdown": 9}, ["model", "date"]),
-    q.with_(*q.TO_PREDICTIONS) + ", p AS (SELECT model, date, coalesce(avg(signal_ret / 100), 0) AS ret FROM rets GROUP BY ALL), e AS (SELECT *, product(1 + ret) OVER w AS eq FROM p WINDOW w AS (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING)) SELECT model, date, round(ret, 9) AS ret, round(eq, 6) AS equity, round(eq / nullif(max(eq) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING), 0) - 1, 9) AS drawdown FROM e",
+    lambda s, d: in_logs(ev.portfolio(predictions(s, d)), ["model", "date"], {"ret": 9}),
+    q.with_(*q.TO_PREDICTIONS) + ", p AS (SELECT model, date, coalesce(avg(signal_ret), 0) AS ret FROM rets GROUP BY ALL), q AS (SELECT *, product(1 + ret) OVER w AS e FROM p WINDOW w AS (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING)), z AS (SELECT *, max(e) OVER (PARTITION BY model ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM q) SELECT model, date, round(ret, 9) AS ret, " + LOGS_SQL + " FROM z",
 )
 _W = [(g, "win_" + g.replace(" ", "_")) for g in PARAMS.groups]
 add("win_rate_heatmap", lambda s, d: rounded(ev.win_heatmap(predictions(s, d)), {c: 9 for _, c in _W}, ["model"]), q.with_(*q.TO_PREDICTIONS) + "SELECT model, " + ", ".join(f"round(avg(CASE WHEN asset_class = '{g}' THEN CAST(ret_5d_fwd > 0 AND signal = 1 AS INT) END), 9) AS {c}" for g, c in _W) + " FROM preds GROUP BY model")

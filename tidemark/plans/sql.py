@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .spec import BAYES_FEATURES
+
 PANEL = """
 panel AS (
   SELECT n_name AS ticker, r_name AS asset_class, 'sector_' || r_name AS sector, CAST(l_shipdate AS DATE) AS date,
@@ -118,6 +120,43 @@ POINTS = """
 indexed AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date) - 1 AS t, count(*) OVER (PARTITION BY ticker) AS n FROM gold),
 points AS (SELECT * FROM indexed WHERE n >= 510 AND t >= 504 AND t < n - 5 AND (t - 504) % 63 = 0)"""
 
+#: The gold layer with the graph's score, and the points on it.
+SCORED = """
+scored AS (SELECT gold.*, coalesce(score, 0.5) AS pregel_score FROM gold LEFT JOIN h3 ON id = ticker AND refit_date = date)"""
+SCORED_POINTS = POINTS.replace("FROM gold)", "FROM scored)")
+
+_D = len(BAYES_FEATURES)
+PRIOR = f"""
+spreads AS (SELECT least(greatest(var_pop(target_ret_5d), 1e-6), 1.0) AS s, ({' + '.join(f'var_samp({c})' for c in BAYES_FEATURES)}) / {_D} AS v FROM scored),
+prior AS (SELECT s AS sigma_sq, least(greatest(s / (v + 1e-8), 0.01), 10.0) AS delta FROM spreads)"""
+
+#: The Bayesian model as it is defined: one observation after another changes weights and covariance.
+POSTERIOR = f"""
+vectors AS (SELECT ticker, t, [{', '.join(f'coalesce({c}, 0)::DOUBLE' for c in BAYES_FEATURES)}] AS x, target_ret_5d AS y FROM indexed),
+seen AS (SELECT ticker, t // 63 + 1 AS step, x, y FROM vectors WHERE t % 63 = 0),
+learned AS (
+  SELECT ticker, 0::BIGINT AS step, list_transform(range({_D}), lambda i: 0.0::DOUBLE) AS w,
+    list_transform(range({_D}), lambda i: list_transform(range({_D}), lambda j: CASE WHEN i = j THEN delta ELSE 0.0::DOUBLE END)) AS p, sigma_sq
+  FROM (SELECT DISTINCT ticker FROM seen), prior
+  UNION ALL
+  SELECT ticker, step, list_transform(range(1, {_D + 1}), lambda i: w[i] + px[i] / d * (y - list_dot_product(x, w))) AS w,
+    list_transform(range(1, {_D + 1}), lambda i: list_transform(range(1, {_D + 1}), lambda j: p[i][j] - px[i] * px[j] / d)) AS p, sigma_sq
+  FROM (SELECT *, sigma_sq + list_dot_product(x, px) AS d
+        FROM (SELECT l.ticker, s.step, l.w, l.p, l.sigma_sq, s.x, s.y, list_transform(l.p, lambda r: list_dot_product(r, s.x)) AS px FROM learned l JOIN seen s ON s.ticker = l.ticker AND s.step = l.step + 1))
+),
+posterior AS (
+  SELECT o.ticker, o.date, o.asset_class, o.ret_5d_fwd,
+    1 / (1 + exp(-list_dot_product(v.x, l.w) / sqrt(1 + pi() / 8 * (list_dot_product(v.x, list_transform(l.p, lambda r: list_dot_product(r, v.x))) + l.sigma_sq)))) AS p
+  FROM points o JOIN vectors v ON v.ticker = o.ticker AND v.t = o.t JOIN learned l ON l.ticker = o.ticker AND l.step = (o.t - 6) // 63 + 1
+)"""
+
+DAILY = f"""
+ready AS (SELECT date, ticker AS id, abs(coalesce(corr_spy_60, 0)) AS c FROM gold WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _F)} QUALIFY count(*) OVER (PARTITION BY date) >= 3),
+near_pairs AS (SELECT a.date, a.id AS src, b.id AS dst, sqrt(a.c * b.c) AS weight FROM ready a JOIN ready b ON a.date = b.date AND a.id < b.id WHERE sqrt(a.c * b.c) > 0.3),
+stars AS (SELECT date, m AS src, id AS dst, 0.1::DOUBLE AS weight FROM (SELECT *, min(id) OVER (PARTITION BY date) AS m FROM ready) WHERE id <> m AND date NOT IN (SELECT date FROM near_pairs)),
+one_way AS (SELECT * FROM near_pairs UNION ALL SELECT * FROM stars),
+daily AS (SELECT * FROM one_way UNION ALL SELECT date, dst, src, weight FROM one_way)"""
+
 PREDICTIONS = """
 preds AS (
   SELECT ticker, date, asset_class, 1 AS signal, (SELECT avg(target_5d) FROM gold) AS p_hold, ret_5d_fwd, 'always_hold' AS model FROM points

@@ -66,6 +66,16 @@ def write_layer(df: DataFrame, path: str, group: str = "asset_class", order: tup
     dealt.sortWithinPartitions(group, *order).write.mode("overwrite").option("compression", compression).partitionBy(group).parquet(path)
 
 
+def write_results(df: DataFrame, path: str, keys: tuple[str, ...] = ("model",)) -> None:
+    """Predictions, metrics or bench rows as Parquet, written by the executors, by ``keys``."""
+    df.write.mode("overwrite").partitionBy(*keys).parquet(path)
+
+
+def only(df: DataFrame, tickers: tuple[str, ...], entity: str = "ticker") -> DataFrame:
+    """The rows of some tickers, for development; all rows if none is named."""
+    return df.filter(F.col(entity).isin(*tickers)) if tickers else df
+
+
 def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -93,7 +103,9 @@ class _BarsReader(DataSourceReader):
                 frame = None
                 if attempt < self.attempts:
                     time.sleep(self.wait * 2**attempt)
-        if frame is None or frame.empty:
+        if frame is None:
+            raise OSError(f"{partition.path} could not be read in {self.attempts} attempts")
+        if frame.empty:
             return
         frame.columns = [c.strip().lower().replace(" ", "_") for c in frame.columns]
         frame = frame.rename(columns={"index": "date"})
@@ -108,7 +120,8 @@ class _BarsReader(DataSourceReader):
 
 class BarsDataSource(DataSource):
     """``spark.read.format("daily_bars").load(folder)``: one CSV file of bars for each ticker, one partition each.
-    A file that cannot be read is tried three times, with growing pauses, and is then left out."""
+    A file that cannot be read is tried three times, with growing pauses, and then fails the read; a readable file without
+    rows or closes has none."""
 
     @classmethod
     def name(cls) -> str:
