@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch, discard, prepare, read, utf8, written
+from .common import batch, discard, prepare, read, release, utf8, written
 
 BINS, BANDS, ROWS = 128, 25, 5
 #: Chance, at each batch, that a pair at the threshold or above is dropped.
@@ -260,7 +260,9 @@ def components(edges: DataFrame) -> DataFrame:
             discard(old)
         del tables[:-1]
         if now == state:
-            return e.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component"))
+            out = written(e.groupBy(F.col("u").alias("rep")).agg(F.min("v").alias("component")), "components")
+            discard(e)
+            return out
         state = now
 
 
@@ -337,7 +339,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
     members = written(members.join(buckets, "bucket").select("bucket", "rep", "hub", "n_members"), "members")
-    done = [buckets, members]
+    discard(buckets)
+    release(spark)  # of classes and buckets
 
     pairs = members.filter("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
     survivors = written(surviving(pairs, reps, threshold), "survivors")
@@ -347,33 +350,35 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     texts = rows.join(wanted, ["row_id", "row_hash"]).dropDuplicates(["row_id", "row_hash", "rep"])
     sets = written(full_sets(texts, "text", size), "sets")
     edges = written(linked(survivors, sets, threshold), "edges")
-    done += [survivors, sets, edges]
+    discard(survivors)
+    release(spark)
     found = components(edges)
 
     for stage in (2, 3):
         named = members.join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         mixed_buckets = written(named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.max(F.struct("rep", "component")).alias("last")).filter("c1 <> c2"), f"mixed{stage}")
         still = written(named.filter("n_members > 2").join(mixed_buckets, "bucket").select("bucket", "rep", "component", "n_members", F.col("last.rep").alias("last"), F.col("last.component").alias("last_component")), f"open{stage}")
-        done += [mixed_buckets, still]
         if stage == 2:
             pairs = still.filter("component <> last_component").select(F.least("rep", "last").alias("a"), F.greatest("rep", "last").alias("b")).distinct()
-            more = written(surviving(pairs, reps, threshold), "survivors")
-            done.append(more)
-            more = linked(more, sets, threshold)
+            tried = written(surviving(pairs, reps, threshold), "survivors")
+            more = linked(tried, sets, threshold)
         else:
             spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BLOCK_ROWS))
-            more = written(block_links(still.join(reps.select("rep", "n_shingles", "sig"), "rep").join(sets, "rep"), threshold).distinct(), "block-links")
+            tried = more = written(block_links(still.join(reps.select("rep", "n_shingles", "sig"), "rep").join(sets, "rep"), threshold).distinct(), "block-links")
             prepare(spark)
-            done.append(more)
-        edges = written(edges.unionByName(more), "edges")
-        done.append(edges)
+        known = written(edges.unionByName(more), "edges")
+        for table in (edges, tried, mixed_buckets, still, found):
+            discard(table)
+        release(spark)
+        edges = known
         found = components(edges)
 
     component = reps.select("rep", "lead").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     leads = component.groupBy("component").agg(F.min("lead").alias("first"))
     named = written(component.join(leads, "component").select(F.col("rep").alias("set_key"), "first"), "named")
-    for table in done:
+    for table in (members, sets, edges, found, reps):
         discard(table)
+    release(spark)
     out = docs.select("id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
     alone, own = F.col("set_key").isNull(), F.col("id").cast("long")
     same_text = F.col("text_hash") == F.col("first.text_hash")
