@@ -18,6 +18,7 @@ from ..operators import graph as gr
 from ..operators import walk_forward as wf
 from ..sources import bars as br
 from ..sources import panel as pn
+from ..sources.instruments import EXCLUDED
 from ..streaming.bars import event_bars
 from . import sql as q
 from .spec import PARAMS
@@ -351,8 +352,8 @@ def summary_query(s: SparkSession, d: str) -> DataFrame:
 
 
 def fitted_models(s: SparkSession, d: str) -> DataFrame:
-    """Predictions of the Bayesian and the logistic model beside the baseline."""
-    g = cut(gold_with_score(s, d))
+    """Predictions of the Bayesian and the logistic model beside the baseline, without the excluded tickers."""
+    g = cut(gold_with_score(s, d)).filter(~F.col("ticker").isin(*EXCLUDED))
     return cut(wf.always_hold(g).unionByName(wf.bayes(g)).unionByName(wf.logit(g)))
 
 

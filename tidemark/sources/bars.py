@@ -80,6 +80,11 @@ def read_layer(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def failed_tickers(raw: DataFrame) -> DataFrame:
+    """The tickers whose files could not be read."""
+    return raw.filter(F.col("date").isNull() & F.col("close").isNull() & F.col("volume").isNull()).select("ticker").distinct()
+
+
 class _File(InputPartition):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -103,8 +108,10 @@ class _BarsReader(DataSourceReader):
                 frame = None
                 if attempt < self.attempts:
                     time.sleep(self.wait * 2**attempt)
+        ticker = Path(partition.path).stem
         if frame is None:
-            raise OSError(f"{partition.path} could not be read in {self.attempts} attempts")
+            yield (ticker, *[None] * (1 + len(PRICES)))
+            return
         if frame.empty:
             return
         frame.columns = [c.strip().lower().replace(" ", "_") for c in frame.columns]
@@ -113,15 +120,14 @@ class _BarsReader(DataSourceReader):
             return
         if "adj_close" not in frame:
             frame["adj_close"] = frame["close"]
-        ticker = Path(partition.path).stem
         for row in frame.reindex(columns=["date", *PRICES]).itertuples(index=False, name=None):
             yield (ticker, *(v if isinstance(v, str) and v != "" else None for v in row))
 
 
 class BarsDataSource(DataSource):
     """``spark.read.format("daily_bars").load(folder)``: one CSV file of bars for each ticker, one partition each.
-    A file that cannot be read is tried three times, with growing pauses, and then fails the read; a readable file without
-    rows or closes has none."""
+    A file that cannot be read is tried three times, with growing pauses, and then is one row with its ticker alone, which
+    ``failed_tickers`` lists and ``valid_bars`` drops; a readable file without rows or closes has no rows."""
 
     @classmethod
     def name(cls) -> str:

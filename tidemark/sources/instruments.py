@@ -13,7 +13,7 @@ UNIVERSE = {
     "FUT_COM": "GC=F SI=F HG=F PL=F PA=F CL=F BZ=F NG=F HO=F RB=F ZC=F ZW=F ZS=F ZL=F ZM=F KC=F CT=F SB=F CC=F LE=F",
     "FUT_IDX": "ES=F NQ=F RTY=F YM=F VX=F",
 }
-#: The sectors that are not a whole run of a class.
+#: The sector of each ticker.
 SECTORS = {
     "FX_Major": "EURUSD=X GBPUSD=X USDJPY=X AUDUSD=X USDCAD=X USDCHF=X NZDUSD=X",
     "FX_EM": "USDCNH=X USDBRL=X USDMXN=X USDZAR=X USDINR=X USDKRW=X",
