@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set holds the hashes of its distinct word shingles; documents with equal sets form a class
-that the 128-bit hash of its set stands for. A signature is a one-permutation MinHash of ``BINS`` bins; ``BANDS``
+that has a number of its own (given when the table of classes is written). A signature is a one-permutation MinHash of ``BINS`` bins; ``BANDS``
 bands of ``ROWS`` bins make buckets, for which empty bins copy a bin chosen by a fixed random sequence.
 
 Candidates of a bucket are verified in three stages, so that no bucket, however large, gives all its pairs:
@@ -158,7 +158,7 @@ def signatures(df: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 def full_sets(df: DataFrame, text: str, size: int) -> DataFrame:
     """rep and its set, from rows of rep and text."""
-    schema = T.StructType([T.StructField("rep", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    schema = T.StructType([T.StructField("rep", T.LongType()), T.StructField("shingles", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -199,7 +199,7 @@ def surviving(pairs: DataFrame, reps: DataFrame, threshold: Threshold) -> DataFr
     known = reps.select("rep", "n_shingles", "sig")
     wide = pairs.join(known.toDF("a", "n_a", "sig_a"), "a").join(known.toDF("b", "n_b", "sig_b"), "b")
     wide = wide.filter(100 * F.least("n_a", "n_b") >= threshold.percent * F.greatest("n_a", "n_b"))
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -214,7 +214,7 @@ def surviving(pairs: DataFrame, reps: DataFrame, threshold: Threshold) -> DataFr
 def linked(pairs: DataFrame, sets: DataFrame, threshold: Threshold) -> DataFrame:
     """The (a, b) pairs whose full sets reach the threshold."""
     wide = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
@@ -298,7 +298,7 @@ def block_links(members: DataFrame, threshold: Threshold) -> DataFrame:
     packed = dealt.groupBy("bucket", "block").agg(F.collect_list(F.struct("rep", "n_shingles", "component", "sig", "shingles")).alias("rows"))
     left, right = packed.toDF("bucket", "block", "rows"), packed.toDF("bucket_2", "block_2", "rows_2")
     met = left.join(right, (F.col("bucket") == F.col("bucket_2")) & (F.col("block") <= F.col("block_2")))
-    schema = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def arrays(rows: pa.StructScalar) -> tuple:
         v = rows.values
@@ -309,7 +309,7 @@ def block_links(members: DataFrame, threshold: Threshold) -> DataFrame:
         for rows in batches:
             for p, q in zip(rows.column(0), rows.column(1), strict=True):
                 (ra, na, ca, xa, sa), (rb, nb, cb, xb, sb) = arrays(p), arrays(q)
-                number: dict[bytes, int] = {}
+                number: dict[int, int] = {}
                 za, zb = (np.array([number.setdefault(c, len(number)) for c in side]) for side in (ca, cb))
                 i, j = np.nonzero((za[:, None] != zb[None, :]) & threshold.sizes_fit(na[:, None], nb[None, :]))
                 keep = threshold.passes(xa[i], xb[j])
@@ -334,8 +334,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     docs = written(signatures(df, key, text, size), "signatures")
     # of a class, the row with the smallest id (none is the greatest), then the least text hash
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "text_hash"))
-    classes = docs.filter(F.col("set_key").isNotNull()).groupBy(F.col("set_key").alias("rep")).agg(lead.alias("lead"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
-    reps = written(classes, "classes")
+    classes = docs.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(lead.alias("lead"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
+    reps = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
     members = written(members.join(buckets, "bucket").select("bucket", "rep", "hub", "n_members"), "members")
@@ -373,9 +373,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
         edges = known
         found = components(edges)
 
-    component = reps.select("rep", "lead").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    component = reps.select("rep", "set_key", "lead").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     leads = component.groupBy("component").agg(F.min("lead").alias("first"))
-    named = written(component.join(leads, "component").select(F.col("rep").alias("set_key"), "first"), "named")
+    named = written(component.join(leads, "component").select("set_key", "first"), "named")
     for table in (members, sets, edges, found, reps):
         discard(table)
     release(spark)

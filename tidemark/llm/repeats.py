@@ -539,18 +539,18 @@ def repeats(df: DataFrame, key: str = "doc_id", text: str = "text", marks_name:
 
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """``df`` with the repeated bytes of its texts removed, and its count of characters renewed. Bytes of a
-    character that was cut go with it."""
+    character that was cut go with it; null texts stay as they are."""
     at, counted = df.columns.index(text), df.columns.index(n_chars) if n_chars in df.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             texts = []
-            for t, found in zip(utf8(rows.column(at)), rows.column(len(df_columns)).to_pylist(), strict=True):
-                texts.append(cut_out(t, removed(found, len(t)) if found else []).decode("utf-8", "ignore"))
+            for t, known, found in zip(utf8(rows.column(at)), rows.column(at).is_valid().to_pylist(), rows.column(len(df_columns)).to_pylist(), strict=True):
+                texts.append(cut_out(t, removed(found, len(t)) if found else []).decode("utf-8", "ignore") if known else None)
             columns = [rows.column(i) for i in range(len(df_columns))]
             columns[at] = texts
             if counted >= 0:
-                columns[counted] = [len(t) for t in texts]
+                columns[counted] = [n if t is None else len(t) for t, n in zip(texts, rows.column(counted).to_pylist(), strict=True)]
             yield batch(schema, columns)
 
     df_columns, schema = df.columns, df.schema
