@@ -1,7 +1,7 @@
 """MinHash near-dedup with sequential Bayesian verification.
 
 A document's set holds the hashes of its distinct word shingles; documents with equal sets form a class
-that has a number of its own (given when the table of classes is written). A signature is a one-permutation MinHash of ``BINS`` bins; ``BANDS``
+that its smallest id stands for, or a number of its own. A signature is a one-permutation MinHash of ``BINS`` bins; ``BANDS``
 bands of ``ROWS`` bins make buckets, for which empty bins copy a bin chosen by a fixed random sequence.
 
 Candidates of a bucket are verified in three stages, so that no bucket, however large, gives all its pairs:
@@ -48,6 +48,8 @@ BATCH = 32
 BLOCK, BLOCK_ROWS = 128, 4
 #: Stands for a missing id where rows are looked up by id and text hash.
 NO_ID = (1 << 63) - 1
+#: Ids from here on can stand for a class; the numbers of other classes lie below.
+LOWEST = -(1 << 62)
 
 MIX1, MIX2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -335,7 +337,12 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     # of a class, the row with the smallest id (none is the greatest), then the least text hash
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id").cast("long").alias("id"), "text_hash"))
     classes = docs.filter(F.col("set_key").isNotNull()).groupBy("set_key").agg(lead.alias("lead"), *(F.first(c).alias(c) for c in ("n_shingles", "sig", "bands")))
-    reps = written(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.withColumn("number", F.monotonically_increasing_id()), "classes")
+    # the smallest id stands for a class, so that a bucket's hub is its earliest document, of which the others mostly are copies;
+    # classes without an id, or with one that leads several of them, have a number below all such ids
+    several = written(classes.groupBy(F.col("lead.id").alias("shared")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1 AND shared IS NOT NULL").select("shared"), "shared-leads")
+    own_id = F.col("shared").isNull() & (F.col("lead.id") >= LOWEST)
+    reps = classes.join(several, F.col("lead.id") == F.col("shared"), "left").withColumn("rep", F.when(own_id, F.col("lead.id")).otherwise(F.col("number") + F.lit(-(1 << 63)))).drop("shared", "number")
     members = reps.select("rep", F.explode("bands").alias("bucket"))
     buckets = written(members.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n_members")).filter("n_members > 1"), "buckets")
     members = written(members.join(buckets, "bucket").select("bucket", "rep", "hub", "n_members"), "members")
@@ -376,7 +383,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", size
     component = reps.select("rep", "set_key", "lead").join(found, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     leads = component.groupBy("component").agg(F.min("lead").alias("first"))
     named = written(component.join(leads, "component").select("set_key", "first"), "named")
-    for table in (members, sets, edges, found, reps):
+    for table in (members, sets, edges, found, classes, several):
         discard(table)
     release(spark)
     out = docs.select("id", "text_hash", "n_shingles", "set_key").join(named, "set_key", "left")
